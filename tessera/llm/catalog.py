@@ -5,9 +5,11 @@ from __future__ import annotations
 from .language_id import op9_language_id
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .topk_search import OP3_SQL, op3_topk_search
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
     "op9_language_id": op9_language_id,
 }
