@@ -234,7 +234,7 @@ def fit(texts: list[str], toxic: list[int], n_landmarks: int = 96, n_clean_words
         parts = [z_pos[rows], *[kernel_to(g, marks) @ whiten if g else z_pos[:0] for g in (gapped, hard)], z_neg]
         n = [len(p) for p in parts]
         target = np.r_[np.ones(n[0] + n[1]), -np.ones(n[2] + n[3])]
-        cost = np.r_[np.full(n[0], 1e4 / max(1, n[0])), np.full(n[1], 2e4 / max(1, n[1])), np.full(n[2], 1e4 / max(1, n[2])), np.full(n[3], 1e4 / max(1, n[3]))]
+        cost = np.r_[np.full(n[0], 4e4 / max(1, n[0])), np.full(n[1], 5e3 / max(1, n[1])), np.full(n[2], 5e3 / max(1, n[2])), np.full(n[3], 1e4 / max(1, n[3]))]
         w, bias = _svm(np.vstack(parts), target, cost)
         folded = fold(marks, whiten @ w)
         value = score_words(positive_words, folded, bias)
