@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .language_id import op9_language_id
 from .secret_scan import OP1_SQL, op1_secret_scan
+from .sentence_pieces import op8_sentence_pieces
+from .token_counts import op7_token_counts
 from .topk_search import OP3_SQL, op3_topk_search
 from .toxicity import op2_toxicity
 
@@ -11,6 +13,8 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
+    "op7_token_counts": op7_token_counts,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
 }
 
