@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
 from .language_id import op9_language_id
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .sentence_pieces import op8_sentence_pieces
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
+    "op4_decontaminate": op4_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
