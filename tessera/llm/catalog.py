@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
 from .language_id import op9_language_id
+from .ngram_join import op6_ngram_join
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .sentence_pieces import op8_sentence_pieces
 from .token_counts import op7_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
     "op4_decontaminate": op4_decontaminate,
+    "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
