@@ -7,6 +7,7 @@ from .language_id import op9_language_id
 from .ngram_join import op6_ngram_join
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .sentence_pieces import op8_sentence_pieces
+from .substring_dedup import op10_substring_dedup
 from .token_counts import op7_token_counts
 from .topk_search import OP3_SQL, op3_topk_search
 from .toxicity import op2_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {"op1_secret_scan": OP1_SQL, "op3_topk_search": OP3_SQL}
