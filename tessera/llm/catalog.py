@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op4_decontaminate
 from .language_id import op9_language_id
 from .ngram_join import op6_ngram_join
+from .quality import op5_quality
 from .secret_scan import OP1_SQL, op1_secret_scan
 from .sentence_pieces import op8_sentence_pieces
 from .substring_dedup import op10_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_topk_search": op3_topk_search,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_sentence_pieces": op8_sentence_pieces,

@@ -282,5 +282,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_wo
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, most_words: int = 500_000, batch_bytes: int = 1 << 19) -> DataFrame:
+    """The rows and columns of ``docs`` without those that contain a benchmark item; one pass a block of items."""
+    at = docs.columns.index("text")
+    for ids, texts in blocks_of_items(benchmark, most_words):
+        shipped = docs.sparkSession.sparkContext.broadcast(Items(ids, texts, threshold))
+
+        def run(batches, shipped=shipped):
+            items = shipped.value
+            for b in arrow_batches(batches, batch_bytes):
+                words, n = word_hashes([t or "" for t in b.column(at).to_pylist()])
+                got = items.search(words, n) if len(words) and items.classes else []
+                keep = np.ones(b.num_rows, bool)
+                keep[[g[0] for g in got]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity", "first_word", "end_word")

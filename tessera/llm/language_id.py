@@ -208,6 +208,21 @@ def identify(docs: DataFrame, model: Model, block: int = 2048, sharpness: float
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, lang_pred string, score double, n_phrases long, n_letters long")
 
 
+def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_bytes: int = 8 << 20) -> DataFrame:
+    """The rows and columns of ``docs`` whose language can be told: those whose text has a letter."""
+    at = docs.columns.index("text")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shipped.value
+        for b in arrow_batches(batches, batch_bytes):
+            texts = [normalise(t) if t else np.zeros(0, np.uint32) for t in b.column(at).to_pylist()]
+            phrases = m.phrases(texts, block) if m.langs else np.zeros((1, len(texts)), np.int64)
+            yield b.filter(pa.array(phrases.min(axis=0) > 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(bucket("doc_id", 3) != 1))
