@@ -147,7 +147,7 @@ def fit(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int
 COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 5000, most_unlabelled: int = 5000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_unlabelled: int = 3000) -> Model:
     """Fit on documents (COLUMNS) and labels (doc_id, quality)."""
     h = F.xxhash64("doc_id")
     one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -155,7 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 5000, most_un
     rest = docs.select("doc_id").where("doc_id is not null").distinct().join(one, "doc_id", "left_anti").orderBy(h, "doc_id").limit(most_unlabelled)
     ids = known.unionByName(rest.withColumn("quality", F.lit(None).cast(one.schema["quality"].dataType)))
     rows = docs.select(*COLUMNS).join(F.broadcast(ids), "doc_id").orderBy(h, "doc_id", "text").limit(most_labelled + most_unlabelled).collect()  # ids: bounded by the two limits
-    views = lambda got: [text_features([r["text"] for r in got]), meta_features(*[[r[c] for r in got] for c in COLUMNS[2:]])]
+
+    def views(got):  # few texts at a time, so that the driver never holds the features' intermediates of all
+        parts = [text_features([r["text"] for r in got[k : k + 100]]) for k in range(0, len(got), 100)]
+        text = np.concatenate([np.zeros((0, PAIRS + 11), np.float32), *parts])
+        return [text, meta_features(*[[r[c] for r in got] for c in COLUMNS[2:]])]
+
     known_rows, free = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
     return fit(views(known_rows), np.array([r["quality"] for r in known_rows]), views(free))
 
