@@ -13,6 +13,7 @@ from .operators.carre import covariance, distances, gamma, spectra, traces, walk
 from .operators.graph import degree_summary, node_ranges, radius_at_quantile
 from .operators.mst import single_linkage, spanning_forest  # noqa: F401
 from .operators.quality import summary as quality  # noqa: F401
+from .operators.lineage import keep
 from .params import DiffusionParams, EmbedderParams
 from .sources.csv import read_vectors_csv, write_coords_csv
 
@@ -25,11 +26,11 @@ def _points(source: DataFrame | str, delim: str, fraction: float | None, spark:
 
 def _graphs(points: DataFrame, k: int, metric: str, layer: int, nbconn: int, scale: float, method: str):
     if not layer:
-        return knn_op.knn(points, k, metric, method).persist(), None, None
+        return keep(knn_op.knn(points, k, metric, method)), None, None
     n = points.count()
     lv = levels.levels(points, nbconn, scale, min(16, floor(log(max(n, 3)))) - 1)
-    small = levels.layer_knn(points, lv, layer, k, metric, method=method).persist()
-    return small, levels.project(points, lv, layer, metric).persist(), knn_op.knn(points, k, metric, method).persist()
+    small = keep(levels.layer_knn(points, lv, layer, k, metric, method=method))
+    return small, keep(levels.project(points, lv, layer, metric)), keep(knn_op.knn(points, k, metric, method))
 
 
 def embed(source: DataFrame | str, outfile: str | None = None, delim: str = ",", dim: int = 2, batch: int = 20, nbsample: int = 10, hierarchy: int = 0, scale: float = 1.0, quality_sampling: float | None = None, distance: str = "DistL2", nbconn: int = 64, ef: int = 512, knbn: int = 10, scale_modify_f: float = 1.0, grad_step: float = 2.0, method: str = "tiles", spark: SparkSession | None = None, seed: int = 4664397) -> DataFrame:

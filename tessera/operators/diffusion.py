@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import clip
 from ..params import DiffusionParams, Rank
 from . import linalg
+from .lineage import keep
 from .proba import FLOOR
 
 MOST = 10.0  # coordinates are held within
@@ -76,12 +77,15 @@ def beta_scales(k: DataFrame, scales: DataFrame, beta: float) -> DataFrame:
 
 
 def dmap_kernel(edges: DataFrame, params: DiffusionParams) -> tuple[DataFrame, DataFrame]:
-    """(kernel, node scales): variable width for beta under 0, else one width for all."""
-    scales = node_scales(edges, params.gnbn)
+    """(kernel, node scales): variable width for beta under 0, else one width for all.
+
+    Both are kept, as the Laplacian reads them several times.
+    """
+    scales = keep(node_scales(edges, params.gnbn))
     if params.beta < 0:
         k = kernel(edges, scales, params.epsil)
-        return kernel(edges, beta_scales(k, scales, params.beta), params.epsil), scales
-    return kernel(edges, scales.select("id", F.col("mean").alias("s")), params.epsil), scales
+        return keep(kernel(edges, keep(beta_scales(keep(k), scales, params.beta)), params.epsil)), scales
+    return keep(kernel(edges, scales.select("id", F.col("mean").alias("s")), params.epsil)), scales
 
 
 @dataclass
@@ -112,15 +116,15 @@ class Laplacian:
 
 def laplacian(k: DataFrame, scales: DataFrame, alfa: float) -> Laplacian:
     """Symmetric kernel, density to the power -alfa on both sides, degrees, normalisation."""
-    g = symmetric(k)
+    g = keep(symmetric(k))
     q = g.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("q"))
     mean = q.agg(F.avg("q").alias("m"))
     q = q.join(F.broadcast(mean), how="cross").select("id", F.pow(F.col("q") / F.col("m"), F.lit(float(alfa))).alias("q"))
     a, b = q.select(F.col("id").alias("src"), F.col("q").alias("qi")), q.select(F.col("id").alias("dst"), F.col("q").alias("qj"))
-    g = g.join(a, "src").join(b, "dst").select("src", "dst", (F.col("w") / (F.col("qi") * F.col("qj"))).alias("w"))
-    n = g.groupBy(F.col("src").alias("id")).agg(F.sqrt(F.sum("w")).alias("norm"))
+    g = keep(g.join(a, "src").join(b, "dst").select("src", "dst", (F.col("w") / (F.col("qi") * F.col("qj"))).alias("w")))
+    n = keep(g.groupBy(F.col("src").alias("id")).agg(F.sqrt(F.sum("w")).alias("norm")))
     a, b = n.select(F.col("id").alias("src"), F.col("norm").alias("ni")), n.select(F.col("id").alias("dst"), F.col("norm").alias("nj"))
-    return Laplacian(g.join(a, "src").join(b, "dst").select("src", "dst", (F.col("w") / (F.col("ni") * F.col("nj"))).alias("w")), n, scales)
+    return Laplacian(keep(g.join(a, "src").join(b, "dst").select("src", "dst", (F.col("w") / (F.col("ni") * F.col("nj"))).alias("w"))), n, scales)
 
 
 def laplacian_of(edges: DataFrame, params: DiffusionParams) -> Laplacian:
@@ -130,7 +134,7 @@ def laplacian_of(edges: DataFrame, params: DiffusionParams) -> Laplacian:
 
 def embed_laplacian(lap: Laplacian, params: DiffusionParams) -> DataFrame:
     """(id, coords): singular vectors after the first, times powers of their values, over scale and root of the norm."""
-    m = lap.sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w").persist()
+    m = lap.sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
     n = lap.norm.count()
     if n <= linalg.SMALL:
         s, u, _, ids, _ = linalg.svd_full(m)

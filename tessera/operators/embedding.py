@@ -19,6 +19,7 @@ from ..functions.vectors import cauchy_weight, squared_distance
 from ..params import DiffusionParams, EmbedderParams
 from .diffusion import dmap_embed
 from .hubness import hubness
+from .lineage import keep
 from .proba import proba_edges, scales
 
 NEGATIVES = 5
@@ -90,7 +91,7 @@ def optimise(kernel: DataFrame, initial: DataFrame, params: EmbedderParams, hubs
     if n * dim > BROADCAST:
         y = initial
         for k in range(params.nb_grad_batch):
-            y = epoch_by_joins(kernel, y, low, params, params.grad_step * (1 - (k + 1) / params.nb_grad_batch), k)
+            y = keep(epoch_by_joins(kernel, y, low, params, params.grad_step * (1 - (k + 1) / params.nb_grad_batch), k))
         return y
     rows = initial.orderBy("id").collect()  # at most BROADCAST numbers
     ids = np.array([r["id"] for r in rows], np.int64)
@@ -99,7 +100,8 @@ def optimise(kernel: DataFrame, initial: DataFrame, params: EmbedderParams, hubs
     if hubs is not None:
         weight = {r["id"]: r["hubness"] for r in hubs.collect()}  # one number a node, as above
         cumulative = np.cumsum([min(max(weight.get(int(i), 1), 1), n) for i in ids]).astype(float)
-    edges = kernel.join(low.select(F.col("id").alias("src"), F.col("scale").alias("a")), "src").select("src", "dst", "w", "a").repartition("src").persist()
+    edges = kernel.join(low.select(F.col("id").alias("src"), F.col("scale").alias("a")), "src").select("src", "dst", "w", "a").repartition("src")
+    edges = keep(edges)
 
     for k in range(params.nb_grad_batch):
         step = params.grad_step * (1 - (k + 1) / params.nb_grad_batch)
@@ -124,7 +126,6 @@ def optimise(kernel: DataFrame, initial: DataFrame, params: EmbedderParams, hubs
         y = y.copy()
         for r in deltas:
             y[r["at"]] += [r[f"d{j}"] for j in range(dim)]
-    edges.unpersist()
     return spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, y, strict=True)], "id long, coords array<double>")
 
 
@@ -136,7 +137,7 @@ def epoch_by_joins(kernel: DataFrame, coords: DataFrame, low: DataFrame, params:
     from .graph import node_index
 
     dim, b = params.asked_dim, params.b
-    index = node_index(coords).join(coords, "id").persist()
+    index = keep(node_index(coords).join(coords, "id"))
     n = index.count()
     x = coords.select(F.col("id").alias("src"), F.col("coords").alias("x")).join(low.select(F.col("id").alias("src"), F.col("scale").alias("a")), "src")
     e = kernel.join(x, "src").join(coords.select(F.col("id").alias("dst"), F.col("coords").alias("y")), "dst")
@@ -159,7 +160,7 @@ def epoch_by_joins(kernel: DataFrame, coords: DataFrame, low: DataFrame, params:
 
 def embed(edges: DataFrame, params: EmbedderParams = EmbedderParams()) -> DataFrame:  # noqa: B008
     """(id, coords) of a graph in one step: diffusion-map (or random) start in a box, kernel, epochs."""
-    kernel = proba_edges(edges, params.scale_rho, params.beta).persist()
+    kernel = keep(proba_edges(edges, params.scale_rho, params.beta))
     if params.dmap_init:
         first = dmap_embed(edges, DiffusionParams(params.asked_dim, alfa=0.5, beta=-0.1, t=5.0, gnbn=12))
         first = data_box(first, params.asked_dim, 10.0)
@@ -178,4 +179,4 @@ def hierarchical_embed(small: DataFrame, proj: DataFrame, large: DataFrame, para
     normal = [F.sqrt(-2 * F.log((F.pmod(F.xxhash64("id", F.lit(params.seed), F.lit(2 * j)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1))) * F.cos(2 * np.pi * F.pmod(F.xxhash64("id", F.lit(params.seed), F.lit(2 * j + 1)), F.lit(1 << 30)) / float(1 << 30)) for j in range(dim)]
     jitter = [F.greatest(F.least(spread * z, F.lit(2.0)), F.lit(-2.0)) for z in normal]
     start = near.select("id", F.array(*[F.col("c")[j] + jitter[j] for j in range(dim)]).alias("coords"))
-    return optimise(proba_edges(large, params.scale_rho, params.beta).persist(), start, params)
+    return optimise(keep(proba_edges(large, params.scale_rho, params.beta)), start, params)

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import keep
+
 
 class UnionFind:
     """Disjoint sets of any hashable nodes, with path halving and union by rank."""
@@ -48,10 +50,8 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
     In each round every component takes its lightest edge out (ties by the
     ends), components that meet are merged by pointer jumping; rounds are
-    logarithmic in the number of nodes.  Intermediate tables are checkpointed
-    where a folder is set.
+    logarithmic in the number of nodes.
     """
-    keep = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("dist").alias("w")).where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
     e = keep(e.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")))
     forest = None
@@ -77,7 +77,6 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 def labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, cluster): smallest id that the links (a, b) reach."""
-    keep = (lambda df: df.checkpoint()) if links.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = keep(nodes.select("id", F.col("id").alias("cluster")))
     while True:
@@ -95,7 +94,7 @@ def single_linkage(edges: DataFrame, nb_clusters: int) -> DataFrame:
     from .graph import nodes
 
     ids = nodes(edges)
-    forest = spanning_forest(edges).persist()
+    forest = keep(spanning_forest(edges))
     n = ids.count()
     links = max(0, min(forest.count(), n - nb_clusters))
     kept = forest.orderBy("w", "a", "b").limit(links) if links else forest.limit(0)
@@ -111,7 +110,7 @@ def h0_barcode(edges: DataFrame) -> DataFrame:
     """(birth, death): bars of the connected components; those that never merge have no death."""
     from .graph import nodes
 
-    forest = spanning_forest(edges).persist()
+    forest = keep(spanning_forest(edges))
     bars = forest.select(F.lit(0.0).alias("birth"), F.col("w").alias("death"))
     open_ = nodes(edges).count() - forest.count()
     return bars.unionByName(edges.sparkSession.range(open_).select(F.lit(0.0).alias("birth"), F.lit(None).cast("double").alias("death")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, entropy, vectors
 from ..operators import carre, diffusion, dimension, embedding, graph, hubness, knn, levels, linalg, mst, proba, quality
+from ..operators.lineage import keep
 from ..params import DiffusionParams, EmbedderParams, Epsil, Rank
 from ..sources import exports
 
@@ -52,7 +53,7 @@ def edges(spark: SparkSession, sf_dir: str, k: int = K, metric: str = "l2") -> D
     p = points(spark, sf_dir)
     if metric in ("jeffreys", "jensen_shannon"):
         p = p.select("id", vectors.probability(F.col("v")).alias("v"))
-    return knn.knn(p, k, metric)
+    return keep(knn.knn(p, k, metric))  # read several times by what follows
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +401,7 @@ def qt_a(spark, sf_dir):
 
 
 def _lap(spark, sf_dir):
-    return diffusion.laplacian_of(edges(spark, sf_dir), FIXED).sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w").persist()
+    return diffusion.laplacian_of(edges(spark, sf_dir), FIXED).sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
 
 
 def _values(spark, s):
@@ -465,14 +466,14 @@ def data_box(spark, sf_dir):
 
 @query()
 def entropy_embed(spark, sf_dir):
-    return embedding.embed(edges(spark, sf_dir).persist(), EmbedderParams(nb_grad_batch=10))
+    return embedding.embed(edges(spark, sf_dir), EmbedderParams(nb_grad_batch=10))
 
 
 @query()
 def entropy_embed_hier(spark, sf_dir):
     p = points(spark, sf_dir)
     lv = levels.levels(p, M)
-    return embedding.hierarchical_embed(levels.layer_knn(p, lv, 1, 8).persist(), levels.project(p, lv, 1).persist(), edges(spark, sf_dir).persist(), EmbedderParams(nb_grad_batch=5, grad_factor=2))
+    return embedding.hierarchical_embed(keep(levels.layer_knn(p, lv, 1, 8)), keep(levels.project(p, lv, 1)), edges(spark, sf_dir), EmbedderParams(nb_grad_batch=5, grad_factor=2))
 
 
 # ---- quality -------------------------------------------------------------------------
@@ -520,7 +521,7 @@ def eight(spark, sf_dir):
 
 
 def _cov(spark, sf_dir):
-    return carre.covariance(carre.walk(edges(spark, sf_dir)), eight(spark, sf_dir))
+    return keep(carre.covariance(carre.walk(edges(spark, sf_dir)), eight(spark, sf_dir)))
 
 
 @query(with_(*WALK_SQL, C8, MEAN) + "select id, j::int as j, round(m, 6) m from mu")
