@@ -59,7 +59,7 @@ def sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     if not len(h):
         return [np.zeros(0, np.uint64) for _ in texts]
     grams = np.zeros(len(h), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(h))):
         grams[: len(h) - k] = grams[: len(h) - k] * MULT + h[k:]
     grams = mix(grams)
     out, at = [], 0
