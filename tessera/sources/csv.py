@@ -73,7 +73,7 @@ def exponent(x: Column, digits: int = 5, mark: str = "e") -> Column:
 
 def coords_lines(df: DataFrame, label: str | None = None, sep: str = ",") -> DataFrame:
     """(value): ``label`` and the coordinates of each row as text."""
-    cells = F.array_join(F.transform("coords", exponent), sep)
+    cells = F.array_join(F.transform("coords", lambda x: exponent(x)), sep)
     return df.select(F.concat_ws(sep, F.col(label).cast("string"), cells).alias("value") if label else cells.alias("value"))
 
 
