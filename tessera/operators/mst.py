@@ -45,14 +45,21 @@ def kruskal(edges: Iterable[tuple]) -> Iterator[tuple]:
             yield a, b, w
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
+#: Edges up to which trees are built on the driver; a step of the distributed way costs more than they do.
+DRIVER = 500_000
+
+
+def spanning_forest(edges: DataFrame, driver: int = DRIVER) -> DataFrame:
     """(a, b, w): minimum spanning forest of ``edges`` (src, dst, dist), by rounds of lightest edges.
 
-    In each round every component takes its lightest edge out (ties by the
+    Up to ``driver`` edges are taken to the driver.  Beyond that, in each round every component takes its lightest edge out (ties by the
     ends), components that meet are merged by pointer jumping; rounds are
     logarithmic in the number of nodes.
     """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("dist").alias("w")).where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
+    e = keep(e)
+    if e.count() <= driver:
+        return edges.sparkSession.createDataFrame(list(kruskal(map(tuple, e.collect()))), "a long, b long, w double")
     e = keep(e.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")))
     forest = None
     while True:
@@ -75,8 +82,17 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         e = keep(e.join(a, "ca").join(b, "cb").where("ra <> rb").groupBy(F.col("ra").alias("ca"), F.col("rb").alias("cb")).agg(F.min(F.struct("w", "a", "b")).alias("m")).select("m.a", "m.b", "m.w", "ca", "cb"))
 
 
-def labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, cluster): smallest id that the links (a, b) reach."""
+def labels(nodes: DataFrame, links: DataFrame, driver: int = DRIVER) -> DataFrame:
+    """(id, cluster): smallest id that the links (a, b) reach; on the driver while there are at most ``driver`` nodes and links."""
+    links = keep(links.select("a", "b"))
+    if links.count() <= driver and nodes.count() <= driver:
+        sets, least = UnionFind(), {}
+        for r in links.collect():
+            sets.union(r["a"], r["b"])
+        ids = sorted(r["id"] for r in nodes.select("id").collect())
+        for i in ids:
+            least.setdefault(sets.find(i), i)
+        return nodes.sparkSession.createDataFrame([(i, least[sets.find(i)]) for i in ids], "id long, cluster long")
     both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = keep(nodes.select("id", F.col("id").alias("cluster")))
     while True:

@@ -114,8 +114,9 @@ def test_forest_against_kruskal(spark, cloud):
     _, _, e = cloud
     rows = [(r["src"], r["dst"], r["dist"]) for r in e.collect()]
     tree = list(mst.kruskal(rows))
-    got = mst.spanning_forest(e).collect()
-    assert len(got) == len(tree) and sum(r["w"] for r in got) == pytest.approx(sum(w for *_, w in tree))
+    for driver in (mst.DRIVER, 0):
+        got = mst.spanning_forest(e, driver).collect()
+        assert len(got) == len(tree) and sum(r["w"] for r in got) == pytest.approx(sum(w for *_, w in tree))
 
 
 def test_single_linkage(spark):
@@ -123,6 +124,8 @@ def test_single_linkage(spark):
     df = spark.createDataFrame([(i, [v, 0.0]) for i, v in x], "id long, v array<double>")
     got = {r["id"]: r["cluster"] for r in mst.single_linkage(knn.knn(df, 3), 2).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    links = spark.createDataFrame([(1, 0), (2, 1), (4, 3)], "a long, b long")
+    assert {r["id"]: r["cluster"] for r in mst.labels(df, links, 0).collect()} == got
 
 
 def test_union_find_halves_paths():
