@@ -8,14 +8,15 @@ frequent ones only in pairs; documents that share a key are candidates, and are
 pruned by how many prefix tokens they share before exact verification.
 
 Groups of copies never become pairs.  Texts with equal sets are one class.
-Near copies are gathered into families around a head (the smallest class of
-those that share one of their lowest tokens); each is compared with its head,
-index keys count only across families, and members that turn out not to be
-linked to their head's component are compared with the rest of the family.
+Near copies are gathered into families around popular classes; each is compared
+with its head, and index keys count only across families.  Inside a family,
+tokens that most of its classes have are its core, the most frequent class of
+tokens: two classes are told apart by their differences from it, so they are
+joined on the few tokens by which they differ (see ``inside_families``).
 
 Steps: scan for classes and prefixes in hash order; families; frequent tokens
 (those in over ``frequent`` family heads); scan for final prefixes; candidates;
-verification of whole sets; components; leftovers of families.
+verification of whole sets; differences inside families; components.
 
 Definitions:
 
@@ -82,12 +83,22 @@ def classes_of(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     return _scan(docs, size, False, ", low array<long>", build)
 
 
-def families(classes: DataFrame, threshold: Fraction, lowest: int = 6) -> DataFrame:
-    """(head, node): classes that look like near copies of a smaller one, by their lowest tokens."""
+def families(classes: DataFrame, threshold: Fraction, lowest: int = 12, agree: int = 3) -> DataFrame:
+    """(head, node): classes that look like near copies of a popular one, by their lowest tokens.
+
+    The head of a token is the class whose lowest tokens are the commonest: of
+    edited copies of one text, one that was not edited there.  Any choice gives
+    the same result.
+    """
     low = classes.select("node", "n", F.explode(F.slice("low", 1, lowest)).alias("token"))
-    heads = low.groupBy("token").agg(F.min(F.struct("n", "node")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    near = low.join(heads, "token").where((F.col("h.node") != F.col("node")) & (F.col("h.n") * threshold.denominator >= F.col("n") * threshold.numerator))
-    return near.groupBy(F.col("h.node").alias("head"), "node").count().where("count >= 3").select("head", "node")
+    common = low.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    low = materialise(low.join(common, "token"), "lowest")
+    known = low.groupBy("node").agg(F.sum("m").alias("known"))
+    heads = low.join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node", "n")).alias("h"))
+    num, den = threshold.numerator, threshold.denominator
+    sized = (F.col("h.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("h.n") * num)
+    near = low.join(heads, "token").where((F.col("h.node") != F.col("node")) & sized)
+    return near.groupBy(F.col("h.node").alias("head"), "node").count().where(F.col("count") >= agree).select("head", "node")
 
 
 def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int = 4_000_000) -> np.ndarray:
@@ -180,6 +191,108 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _spread(members: DataFrame, few: DataFrame, parts: int = 32) -> DataFrame:
+    """Join ``members`` (node, family) with one row a family, a large family dealt over ``parts`` tasks."""
+    salted = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return members.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")).join(salted, ["family", "_part"]).drop("_part")
+
+
+def consensus(members: DataFrame) -> DataFrame:
+    """(family, core binary): the sorted tokens in over half of a family's classes; ``members``: family, tokens.
+
+    Counts are summed per batch before they are shuffled.  A core holds at most
+    twice as many tokens as the mean class of its family.
+    """
+
+    def count(batches):
+        for b in arrow_batches(batches, 8 << 20, "tokens"):
+            lists = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            if not lists:
+                continue
+            pairs = np.empty(sum(map(len, lists)), [("f", np.int64), ("t", np.int64)])
+            pairs["f"] = np.repeat(b.column(0).to_numpy(), [len(x) for x in lists])
+            pairs["t"] = np.concatenate(lists).view(np.int64)
+            pairs.sort(order=("f", "t"))
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+            often = np.diff(np.r_[first, len(pairs)])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs["f"][first]), pa.array(pairs["t"][first]), pa.array(often)], ["family", "token", "m"])
+
+    def gather(batches):
+        for b in batches:
+            packed = [np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["family", "core"])
+
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    counts = members.select("family", "tokens").mapInArrow(count, "family long, token long, m long").groupBy("family", "token").agg(F.sum("m").alias("m")).where("m > 1")
+    core = counts.join(sizes, "family").where("2 * m > size").groupBy("family").agg(F.collect_list("token").alias("core"))
+    whole = sizes.join(core, "family", "left").select("family", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
+    return whole.mapInArrow(gather, "family long, core binary")
+
+
+def differences(members: DataFrame, cores: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, family, n, g, d, diff): how each class differs from its family's core.
+
+    diff: the tokens that only the class has, then those that only the core has.
+    Two classes whose g add up to s are similar when, and only when, their
+    diffs share at least s tokens.
+    """
+    num, den = threshold.numerator, threshold.numerator + threshold.denominator
+
+    def run(batches):
+        for b in arrow_batches(batches, 8 << 20, "tokens"):
+            diffs, g = [], []
+            for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                own, core = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                extra, missing = np.setdiff1d(own, core, True), np.setdiff1d(core, own, True)
+                diffs.append(np.concatenate([extra, missing]))
+                # twice the denominator times (t / (1 + t) * n + missing - core / 2), an integer
+                g.append(2 * num * len(own) + den * (2 * len(missing) - len(core)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(g, pa.int64()), pa.array([len(x) for x in diffs], pa.int64()), _lists(diffs)], ["node", "family", "n", "g", "d", "diff"])
+
+    both = _spread(members, cores).select("node", "family", "n", "tokens", "core")
+    return both.mapInArrow(run, "node long, family long, n long, g long, d long, diff array<long>")
+
+
+def _components(members: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links)
+    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links (a, b) that, with ``links``, connect all similar classes of each family.
+
+    A pair needs g(x) + g(y) shared differences from the core.  Where that is
+    none, both are similar to the class of the smallest g, and a star round it
+    joins them.  Other pairs share one of the first d - s + 1 differences, s the
+    fewest that the class must share; only pairs of which one is outside its
+    family's largest component, and of different components, are looked at.
+    """
+    m = materialise(_components(sets.join(family.withColumnRenamed("component", "family"), "node"), links), "members")
+    apart = m.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
+    m = _spread(m, apart)
+    diffs = materialise(differences(m.select("node", "family", "n", "tokens"), consensus(m), threshold), "differences")
+    centre = diffs.groupBy("family").agg(F.min(F.struct("g", "node")).alias("c")).select("family", F.col("c.g").alias("least"), F.col("c.node").alias("centre"))
+    star = _spread(diffs.select("node", "family", "g"), centre).where("g + least <= 0 AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    star = materialise(star, "stars")
+    now = _components(diffs, links.unionByName(star))
+    counts = now.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("g"))
+    main = counts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("l"), F.min("g").alias("least")).select("family", F.col("l.component").alias("main"), "least")
+    outside = counts.join(main, "family").where("component <> main").groupBy("family", "main", "least").agg(F.min("g").alias("loose"))
+    unit = 2 * (threshold.numerator + threshold.denominator)
+    now = _spread(now, outside).withColumn("out", F.col("component") != F.col("main"))
+    now = materialise(now.select("node", "family", "component", "out", "n", "g", "d", "diff", *[F.greatest(F.lit(1), F.ceil((F.col("g") + F.col(k)) / unit)).alias(s) for k, s in (("least", "s_all"), ("loose", "s_out"))]), "apart")
+    keys = lambda s: now.where(F.col(s) <= F.col("d")).select("node", "family", "component", "out", "g", "d", F.explode(F.slice("diff", F.lit(1), (F.col("d") - F.col(s) + 1).cast("int"))).alias("key"), (F.col(s) - 1).alias("rest"))
+    x, y = keys("s_all").where("out").alias("x"), keys("s_out").alias("y")
+    meets = (F.col("x.family") == F.col("y.family")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.node") < F.col("y.node")))
+    need = F.ceil((F.col("x.g") + F.col("y.g")) / unit)
+    pairs = x.join(y, meets & (need <= F.least("x.d", "y.d"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"), F.greatest("x.rest", "y.rest").alias("rest"))
+    pairs = pairs.groupBy("a", "b", "need", "rest").agg(F.count(F.lit(1)).alias("c")).where("c + rest >= need").select("a", "b", "need")
+    pairs = materialise(pairs, "leftovers")
+    left, right = (now.select(F.col("node").alias(k), F.col("diff").alias(f"d{k}")) for k in "ab")
+    found = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("da", "db")) >= F.col("need")).select("a", "b")
+    return star.unionByName(materialise(found, "verified"))
+
+
 def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), frequent: int = 16) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -195,20 +308,7 @@ def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), f
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(family.select("node")).distinct()
     sets = materialise(whole_sets(docs, nodes, every.where("n > 0"), size), "sets")
     links = materialise(verified(pairs, sets, threshold), "verified")
-    found = components(links)
-    # members of a family that are in different components: all their pairs that are still open
-    m = sets.select("node", "n").join(family, "node").withColumnRenamed("component", "family").join(found, "node", "left").select("node", "n", "family", F.coalesce("component", "node").alias("component"))
-    split = m.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
-    m = m.join(split, "family")
-    largest = m.groupBy("family", "component").count().groupBy("family").agg(F.max(F.struct("count", "component")).alias("l")).select("family", F.col("l.component").alias("main"))
-    loose = m.join(largest, "family").where(F.col("component") != F.col("main"))
-    x, y = loose.alias("x"), m.alias("y")
-    sized = (F.col("x.n") * threshold.denominator >= F.col("y.n") * threshold.numerator) & (F.col("y.n") * threshold.denominator >= F.col("x.n") * threshold.numerator)
-    apart = (F.col("x.family") == F.col("y.family")) & (F.col("x.component") != F.col("y.component"))
-    rest = x.join(y, apart & sized).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = materialise(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "leftovers")
-    if not rest.isEmpty():
-        found = components(links.unionByName(materialise(verified(rest, sets, threshold), "verified")))
+    found = components(links.unionByName(inside_families(sets, family, links, threshold)))
     named = every.where("n > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     done = named.join(smallest, "component").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
