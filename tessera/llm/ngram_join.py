@@ -94,7 +94,7 @@ def families(classes: DataFrame, threshold: Fraction, lowest: int = 12, agree: i
     common = low.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     low = materialise(low.join(common, "token"), "lowest")
     known = low.groupBy("node").agg(F.sum("m").alias("known"))
-    heads = low.join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node", "n")).alias("h"))
+    heads = materialise(low.join(known, "node").groupBy("token").agg(F.max(F.struct("known", "node", "n")).alias("h")), "heads")
     num, den = threshold.numerator, threshold.denominator
     sized = (F.col("h.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("h.n") * num)
     near = low.join(heads, "token").where((F.col("h.node") != F.col("node")) & sized)
@@ -303,7 +303,7 @@ def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), f
     family = components(near.select(F.col("head").alias("a"), F.col("node").alias("b")))
     often = frequent_tokens(classes, members, frequent)
     keys = postings(docs, size, threshold, often).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "singles", "pairs")])
-    keys = keys.join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"), "n", "f", "singles", "pairs")
+    keys = materialise(keys.join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"), "n", "f", "singles", "pairs"), "keys")
     pairs = materialise(candidates(keys, threshold).unionByName(near.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(family.select("node")).distinct()
     sets = materialise(whole_sets(docs, nodes, every.where("n > 0"), size), "sets")
