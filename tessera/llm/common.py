@@ -36,7 +36,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = where
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more, and the shuffle files of steps that are over.
+
+    Spark removes shuffle files once the driver's JVM has collected the plans
+    that made them, which by itself may be long after.
+    """
+    for t in tables:
+        t._written_to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(t._written_to, True)
+    spark.sparkContext._jvm.System.gc()
 
 
 def row_key() -> list[Column]:

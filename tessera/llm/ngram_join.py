@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_batches, materialise, row_key, same, table
+from .common import arrow_batches, materialise, release, row_key, same, table
 from .graph import components
 
 
@@ -98,7 +98,9 @@ def families(classes: DataFrame, threshold: Fraction, lowest: int = 12, agree: i
     num, den = threshold.numerator, threshold.denominator
     sized = (F.col("h.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("h.n") * num)
     near = low.join(heads, "token").where((F.col("h.node") != F.col("node")) & sized)
-    return near.groupBy(F.col("h.node").alias("head"), "node").count().where(F.col("count") >= agree).select("head", "node")
+    found = materialise(near.groupBy(F.col("h.node").alias("head"), "node").count().where(F.col("count") >= agree).select("head", "node"), "families")
+    release(classes.sparkSession, low, heads)
+    return found
 
 
 def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int = 4_000_000) -> np.ndarray:
@@ -298,21 +300,25 @@ def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), f
     docs = docs.select("doc_id", "text")
     every = materialise(classes_of(docs, size, threshold), "classes")
     classes = every.where("n > 0").groupBy("node", "n").agg(F.first("low").alias("low"))
-    near = materialise(families(classes, threshold), "families")
+    near = families(classes, threshold)
     members = near.groupBy("node").agg(F.min("head").alias("head"))
     family = components(near.select(F.col("head").alias("a"), F.col("node").alias("b")))
     often = frequent_tokens(classes, members, frequent)
+    ids = materialise(every.drop("low"), "ids")
+    release(docs.sparkSession, every)
     keys = postings(docs, size, threshold, often).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "singles", "pairs")])
     keys = materialise(keys.join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"), "n", "f", "singles", "pairs"), "keys")
+    release(docs.sparkSession)
     pairs = materialise(candidates(keys, threshold).unionByName(near.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "candidates")
+    release(docs.sparkSession, keys)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(family.select("node")).distinct()
-    sets = materialise(whole_sets(docs, nodes, every.where("n > 0"), size), "sets")
+    sets = materialise(whole_sets(docs, nodes, ids.where("n > 0"), size), "sets")
     links = materialise(verified(pairs, sets, threshold), "verified")
     found = components(links.unionByName(inside_families(sets, family, links, threshold)))
-    named = every.where("n > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = ids.where("n > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     done = named.join(smallest, "component").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-    return done.unionByName(every.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return done.unionByName(ids.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
