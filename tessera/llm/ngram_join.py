@@ -269,10 +269,11 @@ def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, thresh
     fewest that the class must share; only pairs of which one is outside its
     family's largest component, and of different components, are looked at.
     """
-    m = materialise(_components(sets.join(family.withColumnRenamed("component", "family"), "node"), links), "members")
+    m = materialise(_components(family.withColumnRenamed("component", "family"), links), "members")
     apart = m.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
-    m = _spread(m, apart)
-    diffs = materialise(differences(m.select("node", "family", "n", "tokens"), consensus(m), threshold), "differences")
+    m = materialise(_spread(m, apart).select("node", "family"), "split").join(sets, "node")
+    diffs = materialise(differences(m.select("node", "family", "n", "tokens"), materialise(consensus(m), "cores"), threshold), "differences")
+    release(sets.sparkSession)
     centre = diffs.groupBy("family").agg(F.min(F.struct("g", "node")).alias("c")).select("family", F.col("c.g").alias("least"), F.col("c.node").alias("centre"))
     star = _spread(diffs.select("node", "family", "g"), centre).where("g + least <= 0 AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     star = materialise(star, "stars")
@@ -313,7 +314,9 @@ def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), f
     release(docs.sparkSession, keys)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(family.select("node")).distinct()
     sets = materialise(whole_sets(docs, nodes, ids.where("n > 0"), size), "sets")
+    release(docs.sparkSession)
     links = materialise(verified(pairs, sets, threshold), "verified")
+    release(docs.sparkSession)
     found = components(links.unionByName(inside_families(sets, family, links, threshold)))
     named = ids.where("n > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
