@@ -116,6 +116,24 @@ def test_ngram_join_against_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 3, 7, 10)
 
 
+def test_ngram_join_of_edited_copies_without_their_original(spark):
+    rnd = random.Random(11)
+    word = lambda: f"u{rnd.randint(0, 5000)}"
+    stems = [[word() for _ in range(90)] for _ in range(2)]
+    stems.append([*stems[0][:70], *(word() for _ in range(20))])
+    texts = []
+    for i in range(120):
+        t = list(stems[i % 3])
+        for _ in range(rnd.choice([1, 1, 2, 2, 3, 5])):
+            at = rnd.choice([3, 4, 20, rnd.randrange(len(t) - 1)])
+            t[at : at + rnd.randint(0, 2)] = [word()] * rnd.randint(0, 2)
+        texts.append(" ".join(t))
+    got = ngram_join.join(docs_of(spark, texts), 4, Fraction(85, 100), frequent=4).collect()
+    want = brute_components(texts, 4, 85, 100)
+    assert 2 < len({c for _, c in want.values()}) < 110
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(links).collect()} == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
