@@ -6,9 +6,16 @@ fingerprints of the class's items.  A multi-index finds all fingerprints within
 the radius: the 64 bits are cut into blocks, and two fingerprints within the
 radius agree, up to ``radius // blocks`` bits, in at least one block, so each
 block is looked up in a table that holds every item's block with that many bits
-flipped.  Candidates are verified exactly: the weighted Jaccard similarity of
-the multisets of five-word shingles of the item and of a stretch of the
-document with as many words.
+flipped.
+
+The radius is too tight for some edited items, so that candidates also come from
+an index of shingles, which misses none: a stretch that is similar enough lacks
+less than a certain weight of the item's shingles, so it has one of any that
+weigh that much together; the rarest of each item are indexed.
+
+Candidates are verified exactly, for all stretches of the document at once: the
+weighted Jaccard similarity of the multisets of five-word shingles of the item
+and of a stretch of the document with as many words.
 
 SimHashes of all windows come from running sums: a word's hash becomes 64 small
 counters packed in eight (or sixteen) 64-bit integers, and a window's counters are one
@@ -23,8 +30,10 @@ Definitions:
 * Items of fewer words than a shingle are one shingle.  Items without a word
   are never found.  Item ids that repeat are items each.
 * A document without words (null, empty) has no row in the result.
+* Stretches may begin before a document or end after it, and are cut there.
 * Result: one row for each document row and item with the best similarity of at
-  least ``threshold``; first and last word of that stretch (end exclusive).
+  least ``threshold``; first and last word of that stretch (end exclusive), the
+  first of the best.
 """
 
 from __future__ import annotations
@@ -98,6 +107,18 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(h)
 
 
+def runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words as ``shingles`` has it: of five words, or of all words of a shorter text."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    if size == SHINGLE:
+        return shingles(words)
+    h = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        h ^= words[k : len(words) - size + 1 + k] * _powers(size + 1)[k + 1]
+    return mix(h + np.uint64(size))
+
+
 def _spread(width: int) -> np.ndarray:
     """For each group of bits (a byte, or four bits of it) the integer with one of them in each lane."""
     per = 64 // width
@@ -136,6 +157,9 @@ def fingerprints(sums: np.ndarray, window: int, step: int, width: int) -> np.nda
     return out
 
 
+#: Bits of a hash by which most shingles that no item has are told.
+SIEVE = 22
+
 #: Steps divide this; documents are laid out at multiples of it, so that windows do not depend on the neighbours.
 GRID = 12
 
@@ -148,6 +172,7 @@ class Items:
         h, n = word_hashes(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         ends = np.cumsum(n)
         self.words = [h[e - k : e] for e, k in zip(ends, n, strict=True)]
+        self.lengths = n
         self.ids = ids
         self.grams = [np.unique(shingles(w), return_counts=True) for w in self.words]
         groups: dict[int, list[int]] = {}
@@ -169,6 +194,73 @@ class Items:
                 offset.append(at)
             fp, owner, offset = map(np.concatenate, (fps, owner, offset))
             self.classes.append({"window": window, "step": step, "width": width, "fp": fp, "owner": owner, "offset": offset, "index": self._index(fp)})
+        self.rare = self._rare()
+
+    def least(self, item: int) -> int:
+        """Shingles that a stretch shares with an item at least, if it is similar enough."""
+        return int(np.ceil(self.threshold * int(self.grams[item][1].sum()) - 1e-9))
+
+    def _rare(self) -> dict:
+        """For each size of shingles: those of which every similar stretch has one, the items of each, and a sieve."""
+        out = {}
+        for size in sorted({min(len(w), SHINGLE) for w in self.words if len(w)}):
+            members = [i for i, w in enumerate(self.words) if min(len(w), SHINGLE) == size]
+            names, seen = np.unique(np.concatenate([self.grams[i][0] for i in members]), return_counts=True)
+            key, owner = [], []
+            for i in members:
+                own, weight = self.grams[i]
+                order = np.lexsort((own, seen[np.searchsorted(names, own)]))
+                more = int(weight.sum()) - self.least(i) + 1  # who lacks all of these shares too few
+                order = order[: int(np.searchsorted(np.cumsum(weight[order]), more)) + 1]
+                key.append(own[order])
+                owner.append(np.full(len(order), i))
+            key, owner = np.concatenate(key), np.concatenate(owner)
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            sieve = np.zeros(1 << SIEVE, bool)
+            sieve[keys >> np.uint64(64 - SIEVE)] = True
+            out[size] = (keys, np.r_[first, len(key)], owner[order], sieve)
+        return out
+
+    def sharing(self, hashes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+        """Pairs (document, item) as document * items + item, of which the document has a rare shingle of the item."""
+        keys, first, owner, sieve = self.rare[size]
+        at = np.flatnonzero(sieve[hashes >> np.uint64(64 - SIEVE)])
+        k = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+        doc = np.searchsorted(ends, at, "right")
+        ok = (keys[k] == hashes[at]) & (at + size <= ends[doc])
+        pair = np.unique(doc[ok] * len(keys) + k[ok])
+        doc, k = pair // len(keys), pair % len(keys)
+        many = first[k + 1] - first[k]
+        item = owner[np.repeat(first[k] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        return np.unique(np.repeat(doc, many) * len(self.words) + item)
+
+    def best(self, grams: np.ndarray, item: int) -> tuple[float, int, int] | None:
+        """Similarity, first word and end of the stretch of a document that is most like an item, if it reaches the threshold.
+
+        An occurrence of a shingle counts in the stretches that have it and not
+        yet as many before it as the item has.
+        """
+        own, weight = self.grams[item]
+        whole, n = int(weight.sum()), len(grams)
+        k = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+        pos = np.flatnonzero(own[k] == grams)
+        if len(pos) < self.least(item):
+            return None
+        order = np.argsort(k[pos], kind="stable")
+        pos = pos[order]
+        k = k[pos]
+        back = np.arange(len(pos)) - weight[k]
+        held = np.maximum(back, 0)
+        before = np.where((back >= 0) & (k[held] == k), pos[held], -whole)
+        since = np.maximum(before + 1, pos - whole + 1) + whole - 1
+        both = np.cumsum(np.bincount(since, minlength=n + whole) - np.bincount(pos + whole, minlength=n + whole))[: n + whole - 1]
+        a = np.arange(1 - whole, n)
+        s = both / (whole + np.minimum(a + whole, n) - np.maximum(a, 0) - both)
+        top = int(s.argmax())
+        size = len(self.words[item])
+        end = n + min(size, SHINGLE) - 1
+        return (float(s[top]), max(int(a[top]), 0), min(int(a[top]) + size, end)) if s[top] >= self.threshold else None
 
     def _index(self, fp: np.ndarray) -> list:
         """For each block of bits: for every value, the fingerprints whose block is within radius // blocks bits."""
@@ -203,44 +295,32 @@ class Items:
             hits_f.append(f[close])
         return np.concatenate(hits_w), np.concatenate(hits_f)
 
-    def similarity(self, grams: np.ndarray, item: int) -> float:
-        """Weighted Jaccard similarity of a stretch's shingles with an item's."""
-        own, weight = self.grams[item]
-        got, count = np.unique(grams, return_counts=True)
-        at = np.minimum(np.searchsorted(own, got), len(own) - 1)
-        both = np.where(own[at] == got, np.minimum(weight[at], count), 0).sum()
-        return float(both / (weight.sum() + count.sum() - both))
-
     def search(self, words: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """(document, item, similarity, first word, end) of what is found in documents laid end to end."""
         begins = np.cumsum(-(-n // GRID) * GRID) - (-(-n // GRID) * GRID)
-        ends = begins + n
         laid = np.zeros(int((-(-n // GRID) * GRID).sum()), np.uint64)
         laid[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(len(words))] = words
-        words = laid
-        found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        pairs: dict[int, list] = {size: [] for size in self.rare}
         sums: dict[int, np.ndarray] = {}
         for c in self.classes:
             if c["width"] not in sums:
-                sums[c["width"]] = running(words, c["width"])
+                sums[c["width"]] = running(laid, c["width"])
             fp = fingerprints(sums[c["width"]], c["window"], c["step"], c["width"])
             w, f = self.near(c, fp)
-            pairs = {(int(a) * c["step"] - int(c["offset"][b]), int(c["owner"][b])) for a, b in zip(w, f, strict=True)}
-            for at, item in sorted(pairs):
-                size = len(self.words[item])
-                doc = int(np.searchsorted(begins, max(at, 0) + size // 2, "right")) - 1
-                for a in (at, at - 1, at + 1):  # the neighbours only where the first is half alike
-                    lo = max(a, int(begins[doc]))
-                    hi = min(a + size, int(ends[doc]))
-                    if hi <= lo:
-                        continue
-                    s = self.similarity(shingles(words[lo:hi]), item)
-                    old = found.get((doc, item), (0.0, 0, 0))
-                    if s >= self.threshold and s > old[0]:
-                        found[doc, item] = (s, lo - int(begins[doc]), hi - int(begins[doc]))
-                    if s < self.threshold / 2:
-                        break
-        return [(d, i, *v) for (d, i), v in sorted(found.items())]
+            item = c["owner"][f]
+            at = np.maximum(w * c["step"] - c["offset"][f], 0)
+            doc = np.searchsorted(begins, at + self.lengths[item] // 2, "right") - 1
+            for size in pairs:
+                pairs[size].append((doc * len(self.words) + item)[np.minimum(self.lengths[item], SHINGLE) == size])
+        ends, found = np.cumsum(n), []
+        for size, got in pairs.items():
+            hashes = runs(words, size)
+            for pair in np.unique(np.concatenate([*got, self.sharing(hashes, ends, size)])).tolist():
+                doc, item = divmod(pair, len(self.words))
+                best = self.best(hashes[ends[doc] - n[doc] : max(ends[doc] - size + 1, ends[doc] - n[doc])], item)
+                if best:
+                    found.append((doc, item, *best))
+        return sorted(found)
 
 
 def blocks_of_items(benchmark: DataFrame, most_words: int) -> list[tuple[list, list[str]]]:

@@ -162,6 +162,36 @@ def test_hamming_blocks_find_all_in_radius():
     assert set(range(50)) <= {int(a) for a, b in zip(w, f, strict=True) if a == b}
 
 
+def brute_leak(doc, item, size=5):
+    grams = lambda w: Counter(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else Counter([tuple(w)])
+    own, best = grams(item), (0.0, 0, 0)
+    for a in range(1 - len(item), len(doc)):
+        lo, hi = max(a, 0), min(a + len(item), len(doc))
+        got = grams(doc[lo:hi])
+        s = sum((own & got).values()) / sum((own | got).values())
+        best = max(best, (s, -lo, -hi))
+    return (best[0], -best[1], -best[2])
+
+
+def test_edited_leaks_against_brute_force():
+    rnd = random.Random(12)
+    word = lambda: f"q{rnd.randint(0, 9000)}"
+    items = [[word() for _ in range(n)] for n in (3, 5, 20, 59, 100, 100, 200) for _ in range(4)] + [["a", "b"] * 20, ["x"] * 30]
+    texts = []
+    for i in items * 4:
+        t = list(i)
+        at, run = rnd.randrange(max(1, len(t) - len(t) // 12)), len(t) // 14
+        kind = rnd.randrange(4)
+        t[at : at + (0 if kind == 1 else run)] = [] if kind == 2 else [word() for _ in range(run)]
+        t = t[rnd.choice([0, 0, len(t) // 12]) :]
+        texts.append([word() for _ in range(rnd.choice([0, 30]))] + t + [word() for _ in range(rnd.choice([0, 25]))])
+    held = decontaminate.Items(list(range(len(items))), [" ".join(i) for i in items], 0.8)
+    got = {(d, i): v for d, i, *v in held.search(*decontaminate.word_hashes([" ".join(t) for t in texts]))}
+    want = {(d, i): b for d, t in enumerate(texts) for i, item in enumerate(items) if 2 * len(set(t) & set(item)) > len(set(item)) and (b := brute_leak(t, item))[0] >= 0.8}
+    assert len(want) > 50 and got.keys() == want.keys()
+    assert all(got[k] == [pytest.approx(v[0]), *v[1:]] for k, v in want.items())
+
+
 def brute_removed(texts, length):
     raw = [(t or "").encode() for t in texts]
     c = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
