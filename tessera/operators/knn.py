@@ -4,8 +4,9 @@
 from 1 by distance, ties by ``dst``.
 
 * ``tiles``: vectors are packed into blocks; every pair of blocks meets in one
-  tile, where matrix products give candidates, kept with a margin and measured
-  again by direct differences.  Blocks, not rows, are shuffled.
+  tile, where matrix products give candidates: all within rounding of the k-th
+  distance, so that ties are whole; they are measured again by direct
+  differences and cut by (dist, dst).  Blocks, not rows, are shuffled.
 * ``sql``: a self-join with column expressions; for small inputs and as a check.
 * ``approx``: tiles between blocks of points in a bucket of random hyperplanes,
   over several tables; hot buckets are cut into blocks like everything else.
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from ..functions.vectors import TINY, distance, metric_name
 
 EDGES = "src long, dst long, dist double"
-MARGIN = 8
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -49,6 +49,19 @@ def pairwise(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def rounding(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of ``a`` a bound of the error of its distances in ``pairwise`` and ``direct``."""
+    if metric == "l2":
+        size = (a * a).sum(1) + (b * b).sum(1).max()
+    elif metric == "cosine":
+        size = np.full(len(a), 2.0)
+    else:
+        size = np.abs(a).sum(1) + np.abs(b).sum(1).max()
+        if metric != "l1":
+            size = size * (1 + max(np.abs(np.log(np.maximum(x, TINY))).max() for x in (a, b)))
+    return 8 * (a.shape[1] + 8) * np.finfo(float).eps * size
+
+
 def direct(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of one vector to the rows of ``y``, without cancellation."""
     if metric == "l2":
@@ -56,7 +69,7 @@ def direct(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if metric == "l1":
         return np.abs(y - x).sum(1)
     if metric == "cosine":
-        return 1 - (y @ x) / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum(1)))
+        return 1 - (y * x).sum(1) / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum(1)))
     lx, ly = np.log(np.maximum(x, TINY)), np.log(np.maximum(y, TINY))
     if metric == "jeffreys":
         return ((y - x) * (ly - lx)).sum(1)
@@ -98,11 +111,11 @@ def _tile(metric: str, k: int):
                     raise ValueError("vectors of different lengths")
                 d = pairwise(metric, a, b)
                 d[ia[:, None] == ib[None, :]] = np.inf
-                most = min(k + MARGIN, len(ib))
-                near = np.argpartition(d, most - 1, axis=1)[:, :most] if most < len(ib) else np.broadcast_to(np.arange(len(ib)), d.shape)
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(ib) else np.full(len(ia), np.inf)
+                edge = np.where(np.isfinite(edge), edge + 2 * rounding(metric, a, b), np.inf)
                 src, dst, dist = [], [], []
                 for r in range(len(ia)):
-                    at = near[r][np.isfinite(d[r, near[r]])]
+                    at = np.flatnonzero(np.isfinite(d[r]) & (d[r] <= edge[r]))
                     exact = direct(metric, a[r], b[at])
                     best = np.lexsort((ib[at], exact))[:k]
                     src.append(np.full(len(best), ia[r]))

@@ -42,6 +42,21 @@ def test_knn_duplicates_and_few_points(spark):
     assert len(got) == 6 and got[1, 2] == 0 and got[1, 3] == pytest.approx(math.sqrt(41))
 
 
+@pytest.mark.parametrize("metric", ["l2", "l1", "cosine", "jeffreys", "jensen_shannon"])
+def test_knn_of_many_equal_vectors(spark, metric):
+    x = np.random.default_rng(7).random((400, 5)) + 0.1
+    x /= x.sum(1)[:, None]
+    x[300:] = x[300]
+    df = spark.createDataFrame([((i * 37) % 400, [float(v) for v in x[(i * 37) % 400]]) for i in range(400)], "id long, v array<double>")
+    got = {r["src"]: [n["dst"] for n in r["neighbours"]] for r in graph.adjacency(knn.knn(df.coalesce(1), 10, metric)).collect()}
+    name = vectors.metric_name(metric)
+    for i in range(300, 400):
+        assert got[i] == [j for j in range(300, 312) if j != i][:10]
+    for i in range(300):
+        d = knn.direct(name, x[i], x)
+        assert got[i] == [int(j) for j in np.lexsort((np.arange(400), d)) if j != i][:10]
+
+
 def test_approximate_recall(cloud):
     _, df, exact = cloud
     assert knn.recall(exact, knn.knn(df, 8, method="approx", bits=2, tables=10)).first()[0] > 0.8
