@@ -296,8 +296,8 @@ def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, thresh
     return star.unionByName(materialise(found, "verified"))
 
 
-def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), frequent: int = 16) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def grouped(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), frequent: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n, component) of the rows of ``docs`` (doc_id, text) with shingles, and (doc_id, th, n) of those without."""
     docs = docs.select("doc_id", "text")
     every = materialise(classes_of(docs, size, threshold), "classes")
     classes = every.where("n > 0").groupBy("node", "n").agg(F.first("low").alias("low"))
@@ -318,24 +318,31 @@ def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), f
     links = materialise(verified(pairs, sets, threshold), "verified")
     release(docs.sparkSession)
     found = components(links.unionByName(inside_families(sets, family, links, threshold)))
-    named = ids.where("n > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = ids.where("n > 0").join(found, "node", "left").select("doc_id", "th", "n", F.coalesce("component", "node").alias("component"))
+    return named, ids.where("n = 0").select("doc_id", "th", "n")
+
+
+def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), frequent: int = 16) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    named, bare = grouped(docs, size, threshold, frequent)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     done = named.join(smallest, "component").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-    return done.unionByName(ids.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return done.unionByName(bare.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
-    All rows without shingles stay.  Of rows with one id and equal texts one stays.
+    Rows with one id are told apart by their texts, the smallest hash first; a
+    null id comes after all others.  All rows without shingles stay.  Of rows
+    with one id and equal texts one stays.
     """
-    groups = join(docs, **how)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0))
-    first = kept.groupBy("doc_id", "th").agg(F.first("component_id").alias("c")).groupBy("doc_id").agg(F.min("th").alias("th"))
-    cols = docs.columns
+    named, bare = grouped(docs, **how)
+    first = named.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "th")).alias("k"))
+    kept = first.select("k.doc_id", F.col("k.th").alias("_th")).unionByName(bare.select("doc_id", F.col("th").alias("_th")))
     keyed = docs.withColumn("_th", F.xxhash64("text"))
-    joined = keyed.alias("d").join(first.withColumnRenamed("th", "_th").alias("k"), same("d", "k", "doc_id", "_th"), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_th"]).select(*cols)
+    joined = keyed.alias("d").join(kept.alias("k"), same("d", "k", "doc_id", "_th"), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

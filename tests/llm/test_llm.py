@@ -134,6 +134,14 @@ def test_ngram_join_of_edited_copies_without_their_original(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_keep_one_with_null_and_clashing_ids(spark):
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("a")), (None, ""), (5, text("c")), (5, text("d")), (5, ""), (5, text("c")), (7, text("c") + " end"), (3, text("b") + " end"), (9, None), (9, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(d).collect())
+    assert got == Counter([(None, text("a")), (None, ""), (5, text("c")), (5, text("d")), (5, ""), (3, text("b") + " end"), (9, None), (9, " ")])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(links).collect()} == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
