@@ -518,6 +518,7 @@ COV = "cov as (select walk.src id, a.j i, b.j j, sum(p * (a.x - ma.m) * (b.x - m
 
 
 def eight(spark, sf_dir):
+    """The first eight components, to which the SQL of the queries that have some is held."""
     return points(spark, sf_dir).select("id", F.slice("v", 1, 8).alias("v"))
 
 
@@ -525,6 +526,11 @@ def _cov(spark, sf_dir):
     return keep(carre.covariance(carre.walk(edges(spark, sf_dir)), eight(spark, sf_dir)))
 
 
+def _whole_cov(spark, sf_dir):
+    """Covariances of whole vectors; not kept, as each is as large as the square of a vector and read once."""
+    return carre.covariance(carre.walk(edges(spark, sf_dir)), points(spark, sf_dir))
+
+
 @query(with_(*WALK_SQL, C8, MEAN) + "select id, j::int as j, round(m, 6) m from mu")
 def cdc_mean(spark, sf_dir):
     return carre.means(carre.walk(edges(spark, sf_dir)), eight(spark, sf_dir)).select("id", "j", r6("m").alias("m"))
@@ -563,12 +569,12 @@ def cdc_contingency(spark, sf_dir):
 
 @query()
 def cdc_spectrum(spark, sf_dir):
-    return carre.spectra(_cov(spark, sf_dir))
+    return carre.spectra(_whole_cov(spark, sf_dir))
 
 
 @query()
 def cdc_spectrum_deciles(spark, sf_dir):
-    return carre.spectrum_deciles(carre.spectra(_cov(spark, sf_dir)))
+    return carre.spectrum_deciles(carre.spectra(_whole_cov(spark, sf_dir)))
 
 
 @query("select label, min(vec_id) id from embeddings group by label")

@@ -62,6 +62,26 @@ def test_approximate_recall(cloud):
     assert knn.recall(exact, knn.knn(df, 8, method="approx", bits=2, tables=10)).first()[0] > 0.8
 
 
+def test_spectra_of_whole_vectors(spark, tmp_path):
+    from tessera.operators import carre
+    from tessera.plans import catalog
+
+    x = np.random.default_rng(3).random((60, 64))
+    rows = [(i, [float(v) for v in r], "a") for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lap = carre.walk(catalog.edges(spark, str(tmp_path)))
+    p = np.zeros((60, 60))
+    for r in lap.transitions().collect():
+        p[r["src"], r["dst"]] = r["p"]
+    s = {r["id"]: r["s"] for r in lap.scales.collect()}
+    got = {r["id"]: r["spectrum"] for r in catalog.cdc_spectrum(spark, str(tmp_path)).collect()}
+    assert len(got) == 60
+    for i, spectrum in got.items():
+        centred = x - p[i] @ x
+        want = np.linalg.svd((centred * p[i][:, None]).T @ centred / (2 * s[i] ** 2), compute_uv=False)
+        assert len(spectrum) == 64 and spectrum == pytest.approx(want, abs=1e-9)
+
+
 def test_unknown_metric():
     with pytest.raises(ValueError):
         vectors.metric_name("DistNone")
