@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import data_box
@@ -91,7 +91,8 @@ def optimise(kernel: DataFrame, initial: DataFrame, params: EmbedderParams, hubs
     if n * dim > BROADCAST:
         y = initial
         for k in range(params.nb_grad_batch):
-            y = keep(epoch_by_joins(kernel, y, low, params, params.grad_step * (1 - (k + 1) / params.nb_grad_batch), k))
+            for r in range(params.nb_sampling_by_edge):
+                y = keep(epoch_by_joins(kernel, y, low, params, params.grad_step * (1 - (k + 1) / params.nb_grad_batch), k * params.nb_sampling_by_edge + r, hubs))
         return y
     rows = initial.orderBy("id").collect()  # at most BROADCAST numbers
     ids = np.array([r["id"] for r in rows], np.int64)
@@ -129,18 +130,38 @@ def optimise(kernel: DataFrame, initial: DataFrame, params: EmbedderParams, hubs
     return spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, y, strict=True)], "id long, coords array<double>")
 
 
-def epoch_by_joins(kernel: DataFrame, coords: DataFrame, low: DataFrame, params: EmbedderParams, step: float, epoch: int) -> DataFrame:
-    """One epoch of whole gradients for coordinates of any size; far nodes are drawn by a hash.
+def draw_slots(ids: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """(idx, neg): dense numbers from 0, of which each node has one, or with ``hubs`` its hubness within 1 and the number of nodes."""
+    if hubs is None:
+        from .graph import node_index
+
+        return node_index(ids).select("idx", F.col("id").alias("neg"))
+    n = ids.count()
+    m = F.least(F.greatest(F.coalesce("hubness", F.lit(1)), F.lit(1)), F.lit(n)).cast("long")
+    part = keep(ids.select("id").join(hubs, "id", "left").select("id", m.alias("m")).repartitionByRange("id").withColumn("p", F.spark_partition_id()))
+    sizes = part.groupBy("p").agg(F.sum("m").alias("m"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.m"), F.lit(0)).alias("base"))
+    end = F.sum("m").over(Window.partitionBy("p").orderBy("id"))
+    local = part.withColumn("end", end).join(F.broadcast(before), "p").withColumn("end", F.col("base") + F.col("end"))  # one row a partition
+    return local.select(F.explode(F.sequence(F.col("end") - F.col("m"), F.col("end") - 1)).alias("idx"), F.col("id").alias("neg"))
 
-    Every edge takes part once with its weight; a node moves by the mean of its moves.
-    """
-    from .graph import node_index
 
+def epoch_by_joins(kernel: DataFrame, coords: DataFrame, low: DataFrame, params: EmbedderParams, step: float, epoch: int, hubs: DataFrame | None = None) -> DataFrame:
+    """One round of as many edge draws as there are edges, for coordinates of any size; an epoch is ``nb_sampling_by_edge`` of them.
+
+    An edge is drawn by its weight (the mean number of draws, rounded by a hash),
+    far nodes by a hash, in proportion to ``hubs`` if given.  A node makes its
+    moves at once, divided by its draws, as in a batch of ``_epoch``.
+    """
     dim, b = params.asked_dim, params.b
-    index = keep(node_index(coords).join(coords, "id"))
-    n = index.count()
+    slots = keep(draw_slots(coords, hubs))
+    n = slots.count()
+    index = slots.join(coords.select(F.col("id").alias("neg"), F.col("coords").alias("y")), "neg")
     x = coords.select(F.col("id").alias("src"), F.col("coords").alias("x")).join(low.select(F.col("id").alias("src"), F.col("scale").alias("a")), "src")
-    e = kernel.join(x, "src").join(coords.select(F.col("id").alias("dst"), F.col("coords").alias("y")), "dst")
+    mean = F.broadcast(kernel.agg(F.avg("w").alias("mean")))
+    chance = F.pmod(F.xxhash64("src", "dst", F.lit(epoch), F.lit(params.seed), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = kernel.join(mean, how="cross").withColumn("times", F.floor(F.col("w") / F.col("mean") + chance).cast("int")).where("times > 0").drop("mean")
+    e = drawn.join(x, "src").join(coords.select(F.col("id").alias("dst"), F.col("coords").alias("y")), "dst")
 
     def moves(df, coefficient):
         d = squared_distance(F.col("x"), F.col("y")) / (F.col("a") * F.col("a"))
@@ -148,13 +169,15 @@ def epoch_by_joins(kernel: DataFrame, coords: DataFrame, low: DataFrame, params:
         return df.where(d > 0).withColumn("g", coefficient(step * c, d))
 
     near = moves(e, lambda c, d: F.greatest(c * (-F.col("w") + (1 - F.col("w")) / F.greatest(d * d, F.lit(1e4))), F.lit(-0.49)))
-    draws = e.select("src", "dst", "x", "a", F.explode(F.sequence(F.lit(1), F.lit(NEGATIVES))).alias("r")).withColumn("idx", F.pmod(F.xxhash64("src", "dst", "r", F.lit(epoch), F.lit(params.seed)), F.lit(n)))
-    far = draws.join(index.select("idx", F.col("id").alias("neg"), F.col("coords").alias("y")), "idx")
+    draws = e.select("src", "dst", "x", "a", F.explode(F.sequence(F.lit(1), NEGATIVES * F.col("times"))).alias("r")).withColumn("idx", F.pmod(F.xxhash64("src", "dst", "r", F.lit(epoch), F.lit(params.seed)), F.lit(n)))
+    far = draws.join(index, "idx")
     far = far.join(kernel.select("src", F.col("dst").alias("neg")), ["src", "neg"], "left_anti").where("src <> neg")
     far = moves(far, lambda c, d: F.least(c / F.greatest(d * d, F.lit(1 / 16)), F.lit(2.0)))
-    push = lambda df, who, sign: df.select(F.col(who).alias("id"), *[(sign * F.col("g") * (F.col("y")[j] - F.col("x")[j])).alias(f"d{j}") for j in range(dim)])
-    all_moves = push(near, "src", -1).unionByName(push(near, "dst", 1)).unionByName(push(far, "src", -1))
-    mean = all_moves.groupBy("id").agg(*[F.avg(f"d{j}").alias(f"d{j}") for j in range(dim)])
+    push = lambda df, who, sign, times: df.select(F.col(who).alias("id"), *[(sign * F.col("g") * times * (F.col("y")[j] - F.col("x")[j])).alias(f"d{j}") for j in range(dim)])
+    near, once = push(near, "src", -1, F.col("times")).unionByName(push(near, "dst", 1, F.col("times"))), F.lit(1)
+    count = lambda who: drawn.select(F.col(who).alias("id"), F.col("times").alias("c"), *[F.lit(0.0).alias(f"d{j}") for j in range(dim)])
+    all_moves = near.unionByName(push(far, "src", -1, once)).withColumn("c", F.lit(0)).unionByName(count("src")).unionByName(count("dst"))
+    mean = all_moves.groupBy("id").agg(*[(F.sum(f"d{j}") / F.greatest(F.sum("c"), F.lit(1))).alias(f"d{j}") for j in range(dim)])
     return coords.join(mean, "id", "left").select("id", F.array(*[F.col("coords")[j] + F.coalesce(f"d{j}", F.lit(0.0)) for j in range(dim)]).alias("coords"))
 
 
@@ -166,7 +189,7 @@ def embed(edges: DataFrame, params: EmbedderParams = EmbedderParams()) -> DataFr
         first = data_box(first, params.asked_dim, 10.0)
     else:
         first = random_init(edges.select(F.col("src").alias("id")).distinct(), params.asked_dim, 10.0, params.seed)
-    return optimise(kernel, first, params, hubness(edges) if params.hubness_weighting else None)
+    return optimise(kernel, first, params, keep(hubness(edges)) if params.hubness_weighting else None)
 
 
 def hierarchical_embed(small: DataFrame, proj: DataFrame, large: DataFrame, params: EmbedderParams = EmbedderParams()) -> DataFrame:  # noqa: B008
