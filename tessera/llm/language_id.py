@@ -98,30 +98,48 @@ class Model:
                 total += len(p) + 1
             parts[lang] = np.concatenate(got)[: 4 * train_chars] if got else np.zeros(0, np.uint32)
         points, counts = np.unique(np.concatenate([*parts.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        kept = np.sort(points[np.lexsort((points, -counts))][: ALPHABET - 1])
-        self.points = kept  # code 0: any other letter, which no automaton knows
+        order = np.lexsort((points, -counts))
+        #: Code 0: any other letter, which no automaton knows; codes from ALPHABET on: transitions are in keys and to.
+        self.points = np.concatenate([np.sort(points[order[: ALPHABET - 1]]), np.sort(points[order[ALPHABET - 1 :]])])
+        keys, rare = [], []
         tables, bases, base = [], [], 0
         for lang in self.langs:
-            c = np.searchsorted(kept, parts[lang])
-            c = np.where((c < len(kept)) & (kept[np.minimum(c, len(kept) - 1)] == parts[lang]), c + 1, 0)
-            states = automaton(c[c > 0])
+            states = automaton(self.codes(parts[lang]))
             t = np.zeros((len(states), ALPHABET), np.int32)
             for s, go in enumerate(states):
                 for code, to in go.items():
-                    t[s, code] = base + to * ALPHABET
+                    if code < ALPHABET:
+                        t[s, code] = base + to * ALPHABET
+                    else:
+                        keys.append((base + s * ALPHABET) * (len(self.points) + 1) + int(code))
+                        rare.append(base + to * ALPHABET)
             tables.append(t.ravel())
             bases.append(base)
             base += t.size
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bases = np.array(bases, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.array(keys, np.int64)[order], np.array(rare, np.int32)[order]
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         if not len(self.points):
             return np.zeros(len(points), np.int32)
-        lut = np.zeros(int(self.points[-1]) + 2, np.int32)
+        lut = np.zeros(int(self.points.max()) + 2, np.int32)
         lut[self.points] = np.arange(1, len(self.points) + 1)
         return lut[np.minimum(points, len(lut) - 1)]
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states of each language (row) for each letter (column); 0 where there is none."""
+        if not len(self.keys):
+            return self.table[state + c]
+        go = self.table[state + np.where(c < ALPHABET, c, 0)]
+        rare = np.flatnonzero(c >= ALPHABET)
+        if len(rare):
+            key = np.broadcast_to(state, go.shape)[:, rare].astype(np.int64) * (len(self.points) + 1) + c[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            go[:, rare] = np.where(self.keys[at] == key, self.to[at], 0)
+        return go
+
     def phrases(self, texts: list[np.ndarray], block: int) -> np.ndarray:
         """Phrases that each language (row) needs for each text (column)."""
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -144,10 +162,10 @@ class Model:
             k = int(active[t])
             c = codes[start[:k] + t]
             now = state[:, :k]
-            go = self.table[now + c]
+            go = self.step(now, c)
             failed = go == 0
             count[:, :k] += failed
-            again = self.table[roots + c]
+            again = self.step(roots, c)
             again = np.where(again == 0, roots, again)
             state[:, :k] = np.where(failed, again, go)
         count += 1  # the phrase at the end of each block

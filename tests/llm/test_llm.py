@@ -275,6 +275,17 @@ def test_automaton_knows_all_substrings():
                 s = nxt[s][x]
 
 
+def test_languages_of_large_scripts():
+    rnd = random.Random(13)
+    words = {lang: ["".join(chr(0x4E00 + rnd.randrange(1500)) for _ in range(3)) for _ in range(200)] for lang in ("a", "b", "c")}
+    text = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    latin = "".join(map(chr, [*range(97, 123), *range(0x3B1, 0x3C9), *range(0x430, 0x450)])) + " "
+    m = language_id.Model({**{lang: [text(lang, 1500)] for lang in words}, "latin": [latin * 200]}, 30_000)
+    got = m.phrases([language_id.normalise(text(lang, 100)) for lang in ("a", "b", "c")] + [language_id.normalise(latin)], 2048)
+    assert got.argmin(0).tolist() == [0, 1, 2, 3]
+    assert all(2 * got[i, i] < np.delete(got[:, i], i).min() for i in range(3))
+
+
 def test_toxicity_sees_gaps():
     rnd = random.Random(8)
     words = ["".join(rnd.choice("aeiourstnlhd") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
