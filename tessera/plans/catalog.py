@@ -467,14 +467,14 @@ def data_box(spark, sf_dir):
 
 @query()
 def entropy_embed(spark, sf_dir):
-    return embedding.embed(edges(spark, sf_dir), EmbedderParams(nb_grad_batch=10))
+    return embedding.embed(edges(spark, sf_dir), EmbedderParams())
 
 
 @query()
 def entropy_embed_hier(spark, sf_dir):
     p = points(spark, sf_dir)
     lv = levels.levels(p, M)
-    return embedding.hierarchical_embed(keep(levels.layer_knn(p, lv, 1, 8)), keep(levels.project(p, lv, 1)), edges(spark, sf_dir), EmbedderParams(nb_grad_batch=5, grad_factor=2))
+    return embedding.hierarchical_embed(keep(levels.layer_knn(p, lv, 1, 8)), keep(levels.project(p, lv, 1)), edges(spark, sf_dir), EmbedderParams())
 
 
 # ---- quality -------------------------------------------------------------------------

@@ -107,6 +107,18 @@ def test_epochs_by_joins_draw_by_hubs_and_several_times(spark, cloud, monkeypatc
     assert by_joins < ce(first) and by_broadcast < ce(first)
 
 
+def test_embeddings_are_registered_with_default_parameters(monkeypatch):
+    from tessera.plans import catalog
+
+    for name in ("points", "edges", "keep"):
+        monkeypatch.setattr(catalog, name, lambda *a: None)
+    for name in ("levels", "layer_knn", "project"):
+        monkeypatch.setattr(catalog.levels, name, lambda *a: None)
+    for name in ("embed", "hierarchical_embed"):
+        monkeypatch.setattr(catalog.embedding, name, lambda *a: a[-1])
+    assert catalog.entropy_embed(None, "") == catalog.entropy_embed_hier(None, "") == EmbedderParams()
+
+
 def test_unknown_metric():
     with pytest.raises(ValueError):
         vectors.metric_name("DistNone")
