@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where none is configured."""
+    """The folder that all executors share; a local one is made only where none is configured and the master is local."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -41,15 +43,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing reads any more, and the shuffle files of steps that are over.
-
-    Spark removes shuffle files once the driver's JVM has collected the plans
-    that made them, which by itself may be long after.
-    """
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
     for t in tables:
-        t._written_to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(t._written_to, True)
-    spark.sparkContext._jvm.System.gc()
+        t._written_to.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(t._written_to, True)
 
 
 def row_key() -> list[Column]:
@@ -70,6 +67,48 @@ def same(a: str, b: str, *cols: str) -> Column:
     return out
 
 
+#: Bits of a sieve: so it never has more than 8 MB, whatever it is built of.
+SIEVE_BITS = 26
+
+
+def place(key: Column) -> Column:
+    """The place of a 64-bit hash in a sieve: its first bits, counted from 1."""
+    return F.shiftrightunsigned(key, 64 - SIEVE_BITS) + 1
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(part, bits): which first bits the hashes in ``key`` have, 4 KB a row and at most 2,049 rows.
+
+    A sieve tells most rows that have no partner in ``keys`` before they are
+    shuffled.  It lets others pass too, all of them once it is full, so what
+    passes must still be joined.
+    """
+    at = place(F.col(key))
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def in_sieve(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """``df`` with a column _in: whether the place of its hash in ``key`` is set in the sieve."""
+    at = F.bitmap_bit_position(place(F.col(key)))
+    octet = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(octet, (at % 8).cast("int")) == 1, F.lit(False))
+    rows = F.broadcast(kept.select(F.col("part").alias("_part"), F.col("bits").alias("_bits")))
+    return df.join(rows, F.bitmap_bucket_number(place(F.col(key))) == F.col("_part"), "left").withColumn("_in", found).drop("_part", "_bits")
+
+
+def join_hot(rows: DataFrame, few: DataFrame, on: str, hot: DataFrame, by: list[str], parts: int = 32) -> DataFrame:
+    """Inner join of ``rows`` with ``few`` (one row a value of ``on``), where the values in ``hot`` have very many rows.
+
+    Rows of hot values are dealt over ``parts`` tasks by the hash of their columns ``by``.
+    """
+    kept = sieve(hot.select(F.xxhash64(on).alias("_key")), "_key")
+    left = in_sieve(rows.withColumn("_key", F.xxhash64(on)), "_key", kept)
+    left = left.withColumn("_part", F.when(F.col("_in"), F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).otherwise(0)).drop("_key", "_in")
+    right = in_sieve(few.withColumn("_key", F.xxhash64(on)), "_key", kept)
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("_in"), parts - 1).otherwise(0)))).drop("_key", "_in")
+    return left.join(right, [on, "_part"]).drop("_part")
+
+
 def bucket(col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the folds of the labelled rows."""
     c = F.col(col) if isinstance(col, str) else col

@@ -16,7 +16,10 @@ Definitions:
 * Ties: the language first in name order.
 * Training takes rows with text and language, of the learning folds only, and
   is bounded by ``train_docs`` documents and ``train_chars`` characters of each
-  language, chosen by hash.  Without any training row all is ``und``.
+  language, chosen by hash; longer texts are passed over.  Without any
+  training row all is ``und``; ``keep_identified`` then keeps what has a letter.
+* Every row of ``docs`` gives a row: rows that repeat give equal rows, an empty
+  table gives none.  Further columns are passed over.
 * Score: ``h_best ** -sharpness`` as a share of the sum over languages, where
   ``h`` is the number of phrases.
 """
@@ -227,16 +230,27 @@ def identify(docs: DataFrame, model: Model, block: int = 2048, sharpness: float
 
 
 def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_bytes: int = 8 << 20) -> DataFrame:
-    """The rows and columns of ``docs`` whose language can be told: those whose text has a letter."""
+    """The rows and columns of ``docs`` whose text has a letter; where lang is null it becomes the predicted language.
+
+    With a model that has learned no language, lang stays as it is.
+    """
     at = docs.columns.index("text")
+    lang = next((i for i, f in enumerate(docs.schema) if f.name == "lang" and f.dataType.simpleString() == "string"), None)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shipped.value
         for b in arrow_batches(batches, batch_bytes):
             texts = [normalise(t) if t else np.zeros(0, np.uint32) for t in b.column(at).to_pylist()]
-            phrases = m.phrases(texts, block) if m.langs else np.zeros((1, len(texts)), np.int64)
-            yield b.filter(pa.array(phrases.min(axis=0) > 0))
+            told = pa.array([len(t) > 0 for t in texts], pa.bool_())
+            if m.langs and lang is not None and b.column(lang).null_count:
+                asked = np.flatnonzero(b.column(lang).is_null().to_numpy(zero_copy_only=False))
+                best = m.phrases([texts[i] for i in asked], block).argmin(axis=0)
+                said = b.column(lang).to_pylist()
+                for i, k in zip(asked.tolist(), best.tolist(), strict=True):
+                    said[i] = m.langs[k]
+                b = b.set_column(lang, b.schema.field(lang), pa.array(said, b.schema.field(lang).type))
+            yield b.filter(told)
 
     return docs.mapInArrow(run, docs.schema)
 

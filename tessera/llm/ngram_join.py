@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_batches, materialise, release, row_key, same, table
+from .common import arrow_batches, in_sieve, join_hot, materialise, release, row_key, same, sieve, table
 from .graph import components
 
 
@@ -77,20 +77,42 @@ def _scan(docs: DataFrame, size: int, pick, columns: str, build, batch_bytes: in
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, n long{columns}")
 
 
-def classes_of(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """(doc_id, th, node, n, low) of every document; low: the prefix in hash order, a quarter longer."""
-    build = lambda sets: {"low": _lists([s[: prefix_length(len(s), threshold) * 5 // 4 + 8] for s in sets])}
-    return _scan(docs, size, False, ", low array<long>", build)
+#: Leading bits of a token by which frequencies and shared keys are counted, kept in five bytes; if tokens clash, only more pairs are looked at.
+SHORT = 40
 
 
-def families(classes: DataFrame, threshold: Fraction, lowest: int = 12, agree: int = 3) -> DataFrame:
-    """(head, node): classes that look like near copies of a popular one, by their lowest tokens.
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return tokens >> np.uint64(64 - SHORT)
+
+
+def _five_bytes(tokens: np.ndarray) -> bytes:
+    return _short(tokens).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _from_five(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 5, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def classes_of(docs: DataFrame, size: int, threshold: Fraction, lowest: int = 12) -> DataFrame:
+    """(doc_id, th, node, n, lowest, prefix) of every document.
+
+    lowest: its smallest tokens; prefix: the prefix in hash order, a quarter
+    longer, five bytes a token.
+    """
+    build = lambda sets: {"lowest": _lists([s[:lowest] for s in sets]), "prefix": pa.array([_five_bytes(s[: prefix_length(len(s), threshold) * 5 // 4 + 8]) for s in sets], pa.binary())}
+    return _scan(docs, size, False, ", lowest array<long>, prefix binary", build)
+
+
+def families(classes: DataFrame, threshold: Fraction, agree: int = 3) -> DataFrame:
+    """(head, node): classes that look like near copies of a popular one, by their lowest tokens; ``classes``: node, n, lowest.
 
     The head of a token is the class whose lowest tokens are the commonest: of
     edited copies of one text, one that was not edited there.  Any choice gives
     the same result.
     """
-    low = classes.select("node", "n", F.explode(F.slice("low", 1, lowest)).alias("token"))
+    low = classes.select("node", "n", F.explode("lowest").alias("token"))
     common = low.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     low = materialise(low.join(common, "token"), "lowest")
     known = low.groupBy("node").agg(F.sum("m").alias("known"))
@@ -99,21 +121,53 @@ def families(classes: DataFrame, threshold: Fraction, lowest: int = 12, agree: i
     sized = (F.col("h.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("h.n") * num)
     near = low.join(heads, "token").where((F.col("h.node") != F.col("node")) & sized)
     found = materialise(near.groupBy(F.col("h.node").alias("head"), "node").count().where(F.col("count") >= agree).select("head", "node"), "families")
-    release(classes.sparkSession, low, heads)
+    release(low, heads)
     return found
 
 
-def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int = 4_000_000) -> np.ndarray:
-    """Sorted tokens in the prefixes of over ``over`` classes, near copies left aside.
+def _dealt(keys: np.ndarray, bits: int, *more: np.ndarray):
+    """For each shard of sorted short keys: its number, its keys' lower bits as bytes, and the bytes of ``more``."""
+    shard = (keys >> np.uint64(SHORT - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+    low = (keys & np.uint64((1 << (SHORT - bits)) - 1)).astype(np.uint32)
+    cuts = [(int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return [int(shard[a]) for a, _ in cuts], *[[x[a:b].tobytes() for a, b in cuts] for x in (low, *more)]
+
+
+def _shard_bits(tokens: int) -> int:
+    """Bits of the number of a shard, so that about two million tokens come to a shard, and lower bits fit in four bytes."""
+    return max(SHORT - 32, min(24, int(tokens // 2_000_000).bit_length()))
+
+
+def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int = 1 << 20) -> np.ndarray:
+    """Sorted short tokens in the prefixes of over ``over`` classes, near copies left aside; ``classes``: node, prefix.
 
-    At most ``most`` are taken (the limit of what is shipped): beyond it the
+    At most ``most`` are taken (the limit of what is shipped, 8 MB): beyond it the
     limit of the frequency doubles.  Any choice gives the same result.
     """
-    heads = classes.join(family.select("node").distinct(), "node", "left_anti")
-    counts = materialise(heads.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") > over), "frequent")
-    while counts.where(F.col("count") > over).count() > most:
+    heads = classes.join(family.select("node").distinct(), "node", "left_anti").select("prefix")
+    bits = _shard_bits(classes.agg(F.sum(F.length("prefix"))).first()[0] // 5 if not classes.isEmpty() else 0)
+
+    def deal(batches):
+        for b in arrow_batches(batches, 8 << 20, "prefix"):
+            got = np.sort(_from_five(b"".join(b.column(0).to_pylist())))
+            shard, low = _dealt(got, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(low, pa.binary())], ["shard", "low"])
+
+    def count(t: pa.Table) -> pa.Table:
+        low = np.sort(np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint32))
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        m = np.diff(np.r_[first, len(low)])
+        often = m > over
+        token = (np.uint64(t.column("shard")[0].as_py()) << np.uint64(SHORT - bits)) + low[first[often]]
+        return pa.table({"token": pa.array(token.astype(np.int64)), "m": pa.array(m[often])})
+
+    counts = materialise(heads.mapInArrow(deal, "shard int, low binary").groupBy("shard").applyInArrow(count, "token long, m long"), "frequent")
+    while counts.where(F.col("m") > over).count() > most:
         over *= 2
-    return np.sort(np.array([r[0] for r in counts.where(F.col("count") > over).select("token").collect()], np.int64).view(np.uint64))
+    often = counts.where(F.col("m") > over).select("token").toArrow().column(0).to_numpy()
+    release(counts)
+    return np.sort(often.astype(np.uint64))
 
 
 def postings(docs: DataFrame, size: int, threshold: Fraction, frequent: np.ndarray) -> DataFrame:
@@ -123,7 +177,7 @@ def postings(docs: DataFrame, size: int, threshold: Fraction, frequent: np.ndarr
     def build(sets):
         often = shipped.value
         singles, pairs, f = [], [], []
-        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        every = _short(np.concatenate([*sets, np.zeros(0, np.uint64)]))
         if len(often):
             at = np.minimum(np.searchsorted(often, every), len(often) - 1)
             hot = often[at] == every
@@ -145,14 +199,44 @@ def postings(docs: DataFrame, size: int, threshold: Fraction, frequent: np.ndarr
     return _scan(docs, size, True, ", f int, singles array<long>, pairs array<long>", build)
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(token): the short index keys that classes of two families have; ``keys``: family, singles, pairs.
+
+    Keys move as five bytes with four of the family's hash; of a family that
+    has a key many times in a batch, one moves.
+    """
+    bits = _shard_bits(keys.agg(F.sum(F.size("singles") + F.size("pairs"))).first()[0] or 0)
+
+    def deal(batches):
+        for b in arrow_batches(batches, 8 << 20, "singles"):
+            own = np.concatenate([np.diff(b.column(k).offsets.to_numpy()) for k in (1, 2)])
+            family = np.repeat(np.tile(b.column(0).to_numpy() & 0xFFFFFFFF, 2), own)
+            every = _short(np.concatenate([b.column(k).flatten().to_numpy() for k in (1, 2)]).view(np.uint64))
+            order = np.lexsort((family, every))
+            every, family = every[order], family[order].astype(np.uint32)
+            first = np.r_[True, (every[1:] != every[:-1]) | (family[1:] != family[:-1])] if len(every) else np.zeros(0, bool)
+            shard, low, who = _dealt(every[first], bits, family[first])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(low, pa.binary()), pa.array(who, pa.binary())], ["shard", "low", "who"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        low, who = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32) for c in ("low", "who"))
+        order = np.argsort(low, kind="stable")
+        low, who = low[order], who[order]
+        again = np.flatnonzero((low[1:] == low[:-1]) & (who[1:] != who[:-1]))
+        token = (np.uint64(t.column("shard")[0].as_py()) << np.uint64(SHORT - bits)) + np.unique(low[again])
+        return pa.table({"token": pa.array((token << np.uint64(64 - SHORT)).view(np.int64))})
+
+    dealt = keys.select(F.xxhash64("family").alias("family"), "singles", "pairs").mapInArrow(deal, "shard int, low binary, who binary")
+    return dealt.groupBy("shard").applyInArrow(meet, "token long")
+
+
 def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (a, b) of classes of different families that may be similar; ``keys``: node, family, n, f, singles, pairs."""
+    found = sieve(shared_keys(keys), "token")
     head = ["node", "family", "n", "f"]
     single = keys.select(*head, F.explode("singles").alias("key"), F.lit(1).alias("w"))
     paired = keys.where(F.size("pairs") > 0).select(*head, F.explode("pairs").alias("key"), F.lit(0).alias("w"))
-    p = single.unionByName(paired)
-    shared = p.groupBy("key", "w").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("key", "w")
-    p = materialise(p.join(shared, ["key", "w"]), "postings")
+    p = materialise(in_sieve(single.unionByName(paired), "key", found).where("_in").select(*head, "key", "w"), "postings")
     t, o = threshold, threshold / (1 + threshold)
     x, y = p.alias("x"), p.alias("y")
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.family") != F.col("y.family")) & (F.col("x.node") < F.col("y.node"))
@@ -165,9 +249,11 @@ def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(node, n, tokens binary) of the classes in ``nodes``, from the whole text of one document each."""
-    one = classes.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
-    keyed = docs.select("text", *row_key())
-    picked = keyed.alias("d").join(one.alias("o"), same("d", "o", "doc_id", "th"), "left_semi").dropDuplicates(["doc_id", "th"])
+    one = classes.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    one = materialise(one.select("k.doc_id", "k.th", F.xxhash64("k.doc_id", "k.th").alias("row")), "readers")
+    keyed = docs.select("text", *row_key()).withColumn("row", F.xxhash64("doc_id", "th"))
+    near = in_sieve(keyed, "row", sieve(one, "row")).where("_in").drop("_in")
+    picked = near.alias("d").join(one.alias("o"), same("d", "o", "doc_id", "th", "row"), "left_semi").dropDuplicates(["doc_id", "th", "row"])
     build = lambda sets: {"tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
     return _scan(picked, size, True, ", tokens binary", build).select("node", "n", "tokens")
 
@@ -273,7 +359,6 @@ def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, thresh
     apart = m.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
     m = materialise(_spread(m, apart).select("node", "family"), "split").join(sets, "node")
     diffs = materialise(differences(m.select("node", "family", "n", "tokens"), materialise(consensus(m), "cores"), threshold), "differences")
-    release(sets.sparkSession)
     centre = diffs.groupBy("family").agg(F.min(F.struct("g", "node")).alias("c")).select("family", F.col("c.g").alias("least"), F.col("c.node").alias("centre"))
     star = _spread(diffs.select("node", "family", "g"), centre).where("g + least <= 0 AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     star = materialise(star, "stars")
@@ -300,33 +385,33 @@ def grouped(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5)
     """(doc_id, th, n, component) of the rows of ``docs`` (doc_id, text) with shingles, and (doc_id, th, n) of those without."""
     docs = docs.select("doc_id", "text")
     every = materialise(classes_of(docs, size, threshold), "classes")
-    classes = every.where("n > 0").groupBy("node", "n").agg(F.first("low").alias("low"))
-    near = families(classes, threshold)
+    classes = every.where("n > 0")
+    near = families(classes.groupBy("node", "n").agg(F.first("lowest").alias("lowest")), threshold)
     members = near.groupBy("node").agg(F.min("head").alias("head"))
     family = components(near.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    often = frequent_tokens(classes, members, frequent)
-    ids = materialise(every.drop("low"), "ids")
-    release(docs.sparkSession, every)
+    often = frequent_tokens(classes.groupBy("node").agg(F.first("prefix").alias("prefix")), members, frequent)
+    ids = materialise(every.drop("lowest", "prefix"), "ids")
+    release(every)
     keys = postings(docs, size, threshold, often).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "singles", "pairs")])
     keys = materialise(keys.join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"), "n", "f", "singles", "pairs"), "keys")
-    release(docs.sparkSession)
     pairs = materialise(candidates(keys, threshold).unionByName(near.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "candidates")
-    release(docs.sparkSession, keys)
+    release(keys)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(family.select("node")).distinct()
     sets = materialise(whole_sets(docs, nodes, ids.where("n > 0"), size), "sets")
-    release(docs.sparkSession)
     links = materialise(verified(pairs, sets, threshold), "verified")
-    release(docs.sparkSession)
     found = components(links.unionByName(inside_families(sets, family, links, threshold)))
+    release(sets)
     named = ids.where("n > 0").join(found, "node", "left").select("doc_id", "th", "n", F.coalesce("component", "node").alias("component"))
     return named, ids.where("n = 0").select("doc_id", "th", "n")
 
 
-def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), frequent: int = 16) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def join(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), frequent: int = 16, large: int = 1000) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id) of every row of ``docs`` (doc_id, text); components of over ``large`` rows are dealt over tasks."""
     named, bare = grouped(docs, size, threshold, frequent)
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    done = named.join(smallest, "component").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
+    named = materialise(named, "named")
+    smallest = materialise(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "smallest")
+    done = join_hot(named, smallest.drop("size"), "component", smallest.where(F.col("size") > large), ["doc_id", "th"])
+    done = done.select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
     return done.unionByName(bare.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -335,14 +420,21 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows with one id are told apart by their texts, the smallest hash first; a
     null id comes after all others.  All rows without shingles stay.  Of rows
-    with one id and equal texts one stays.
+    with one id and equal texts one stays.  Other columns may have any names.
+    Only texts of rows that may have to go are shuffled.
     """
     named, bare = grouped(docs, **how)
-    first = named.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "th")).alias("k"))
-    kept = first.select("k.doc_id", F.col("k.th").alias("_th")).unionByName(bare.select("doc_id", F.col("th").alias("_th")))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    joined = keyed.alias("d").join(kept.alias("k"), same("d", "k", "doc_id", "_th"), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    every = materialise(named.select("doc_id", "th", "component").unionByName(bare.select("doc_id", "th", F.lit(None).cast("long").alias("component"))), "named")
+    first = every.where("component is not null").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
+    kept = first.unionByName(every.where("component is null").select("doc_id", "th")).select("doc_id", "th", F.xxhash64("doc_id", "th").alias("key"))
+    kept = materialise(kept, "kept")
+    rows = every.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("m")).select("doc_id", "th", "m", F.xxhash64("doc_id", "th").alias("key"))
+    rows = rows.join(kept.groupBy("key").agg(F.first(F.lit(True)).alias("stays")), "key", "left")
+    doubtful = materialise(sieve(rows.where("stays is null or m > 1"), "key"), "doubtful")
+    packed = docs.select(F.struct("*").alias("row"), *row_key())
+    packed = in_sieve(packed.withColumn("key", F.xxhash64("doc_id", "th")), "key", doubtful)
+    asked = packed.where("_in").alias("d").join(kept.alias("k"), same("d", "k", "doc_id", "th", "key"), "left_semi").dropDuplicates(["doc_id", "th", "key"])
+    return packed.where("not _in").select("row.*").unionByName(asked.select("row.*"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ Definitions:
   group is too short are dropped afterwards, as are their characters.
 * Offsets count code points, the end is exclusive.
 * Null text counts as empty.  Every row of the input gives one row; rows that
-  repeat give equal rows.
-* Further columns of the input are passed over; ``redact`` keeps them.
+  repeat give equal rows, an empty table gives none.  Texts of any length are
+  searched whole.  Matches of two rules at one place are all reported, in the
+  order of the rules.
+* Further columns of the input, of any name, are kept in the row.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, same, table
+from .common import in_sieve, materialise, row_key, same, sieve, table
 
 
 @dataclass(frozen=True)
@@ -189,18 +191,24 @@ def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
 
 
 def scan(docs: DataFrame, rules=BASE + MORE) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_spans``, sorted spans of all rules (kind: position in ``rules``)."""
+    """(row, spans) of all rows of ``docs``: its columns as a struct, and the sorted spans of all rules (kind: position in ``rules``).
+
+    Texts of documents with postings meet the rules that their postings allow;
+    all other texts are not moved, as only rules without a trigram can match them.
+    """
     trigrams = vocabulary(rules)
     found = candidates(trigram_index(docs, trigrams), rules, trigrams)
-    joined = docs.withColumn("_th", F.xxhash64("text")).alias("d").join(found.withColumnRenamed("th", "_th").alias("c"), same("d", "c", "doc_id", "_th"), "left")
-    text = F.coalesce(F.col("d.text"), F.lit(""))
-    spans = []
-    for i, r in enumerate(rules):
-        own = rule_spans(text, r, i)
-        if trigram_query(r) != TRUE:
-            own = F.when(F.array_contains(F.col("c.rules"), i), own).otherwise(F.array().cast(SPANS))
-        spans.append(own)
-    return joined.select("d.*", F.array_sort(F.concat(*spans)).alias("_spans")).drop("_th")
+    found = materialise(found.withColumn("key", F.xxhash64("doc_id", "th")), "candidates")
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), *row_key())
+    packed = in_sieve(packed.withColumn("key", F.xxhash64("doc_id", "th")), "key", sieve(found, "key"))
+    asked = packed.where("_in").alias("d").join(found.alias("c"), same("d", "c", "doc_id", "th", "key"), "left").select("d.row", "d.text", "c.rules")
+    none = F.array().cast(SPANS)
+    free = [trigram_query(r) == TRUE for r in rules]
+    own = [rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]
+    every = [o if f else F.when(F.array_contains("rules", i), o).otherwise(none) for i, (o, f) in enumerate(zip(own, free, strict=True))]
+    spans = lambda parts: F.array_sort(F.concat(none, *parts)).alias("spans")
+    rest = packed.where("not _in").select("row", spans([o for o, f in zip(own, free, strict=True) if f]))
+    return rest.unionByName(asked.select("row", spans(every)))
 
 
 def span_string(spans: Column, rules) -> Column:
@@ -215,31 +223,31 @@ def redact(docs: DataFrame, rules=BASE + MORE, mark: str = "[SECRET]") -> DataFr
     """
     hit = scan(docs, rules)
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
+    text = F.col("row.text")
 
     def step(acc, s):
         gap = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        new = (s["start"] >= acc["at"])
+        new = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap, F.when(new, F.lit(mark)).otherwise(F.lit(""))).alias("out"))
 
-    whole = F.aggregate("_spans", empty, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    clean = F.when(F.size("_spans") > 0, whole).otherwise(text)
-    out = hit.withColumn("text", clean)
+    whole = F.aggregate("spans", empty, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    hit = hit.select("row", (F.size("spans") > 0).alias("any"), F.when(F.size("spans") > 0, whole).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("any"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return hit.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = BASE + MORE
     hit = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
-    base = F.filter("_spans", lambda s: s["kind"] < len(BASE))
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return hit.select(
-        "doc_id",
+        F.col("row.doc_id").alias("doc_id"),
         *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)],
         F.sha2(span_string(base, rules).cast("binary"), 256).alias("base_sha256"),
-        span_string(F.col("_spans"), rules).alias("spans"),
+        span_string(F.col("spans"), rules).alias("spans"),
     )
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language_id, ngram_join, quality, secret_scan, sentence_pieces, substring_dedup, token_counts, topk_search, toxicity
+from tessera.llm import common, decontaminate, language_id, ngram_join, quality, secret_scan, sentence_pieces, substring_dedup, token_counts, topk_search, toxicity
 from tessera.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, score string"
@@ -47,7 +47,7 @@ def test_secrets_against_brute_force(spark):
     rnd = random.Random(1)
     parts = ["password", "Secret", "api_key", "APIKEY", "token", ": ", "=", '"', " ", "é", "AKIA" + "Q" * 16, "AKIA", "abcdef0123456789", "deadbeef", "x1Y2z3A4b5C6d7", "short", "\n", "passwd=abcdefghijkl", "token: token: abcdefghijklmnop"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(150)] + ODD
-    got = secret_scan.scan(docs_of(spark, texts), secret_scan.BASE).select("doc_id", secret_scan.span_string(F.col("_spans"), secret_scan.BASE).alias("s")).collect()
+    got = secret_scan.scan(docs_of(spark, texts), secret_scan.BASE).select("row.doc_id", secret_scan.span_string(F.col("spans"), secret_scan.BASE).alias("s")).collect()
     assert {r["doc_id"]: r["s"] for r in got} == {i: brute_spans(t) for i, t in enumerate(texts)}
 
 
@@ -62,6 +62,34 @@ def test_redaction(spark):
     assert got[0]["text"] == "é [SECRET] end" and got[1]["text"] is None and got[2]["text"] == "clean" and got[0]["n_chars"] == 14
 
 
+INTERNAL = ["th", "_th", "row", "key", "_key", "_in", "_part", "_bits", "part", "bits", "spans", "_spans", "rules", "clean", "any", "node", "component", "n", "d", "k", "c", "m"]
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    texts = [" ".join(f"a{i}" for i in range(40)), " ".join(f"a{i}" for i in range(40)) + " end", "password = abcdefghijkl", "", None]
+    d = docs_of(spark, texts).select("doc_id", "text", "lang", "n_chars", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in INTERNAL])
+    bench = spark.createDataFrame([(1, "never there")], "item_id long, text string")
+    runs = {
+        "redact": (secret_scan.redact(d), [0, 1, 2, 3, 4]),
+        "keep_one": (ngram_join.keep_one(d), [0, 2, 3, 4]),
+        "keep_identified": (language_id.keep_identified(d, language_id.train(d)), [0, 1, 2]),
+        "clean": (decontaminate.clean(d, bench), [0, 1, 2, 3, 4]),
+    }
+    for name, (got, ids) in runs.items():
+        assert got.columns == d.columns, name
+        rows = got.orderBy("doc_id").collect()
+        assert [r["doc_id"] for r in rows] == ids, name
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in INTERNAL), name
+
+
+def test_join_deals_hot_values_over_tasks(spark):
+    rows = spark.range(500).select(F.col("id"), F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("v"))
+    few = rows.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+    got = common.join_hot(rows, few, "v", few.where("m > 50"), ["id"], 4)
+    assert got.count() == 500 and got.where("(v = 7) <> (m = 400)").count() == 0
+    assert common.join_hot(rows, few, "v", few.where("false"), ["id"]).count() == 500
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     x = np.round(rng.standard_normal((250, 4)), 1)
@@ -261,7 +289,9 @@ def test_language(spark):
     m = language_id.train(d)
     got = {r["doc_id"]: r for r in language_id.identify(docs_of(spark, [en, fr, None, "123 !", en * 400]), m).collect()}
     assert [got[i]["lang_pred"] for i in range(5)] == ["en", "fr", "und", "und", "en"] and got[2]["score"] == 0
-    assert language_id.keep_identified(docs_of(spark, [en, None, "12"]), m).count() == 1
+    asked = docs_of(spark, [en, None, "12", fr]).withColumn("lang", F.when(F.col("doc_id") == 0, "en"))
+    assert [(r["doc_id"], r["lang"]) for r in language_id.keep_identified(asked, m).orderBy("doc_id").collect()] == [(0, "en"), (3, "fr")]
+    assert [(r["doc_id"], r["lang"]) for r in language_id.keep_identified(asked, language_id.train(d.where("false"))).orderBy("doc_id").collect()] == [(0, "en"), (3, None)]
 
 
 def test_automaton_knows_all_substrings():
