@@ -29,7 +29,10 @@ Definitions:
   that is one of the item's own fingerprints.
 * Items of fewer words than a shingle are one shingle.  Items without a word
   are never found.  Item ids that repeat are items each.
-* A document without words (null, empty) has no row in the result.
+* A document without words (null, empty) has no row in the result; nor has any
+  of an empty table, and an empty benchmark has no row and drops no document.
+  Texts of any length are searched whole; rows that repeat give equal rows.
+  Further columns are passed over by ``leaks`` and kept by ``clean``.
 * Stretches may begin before a document or end after it, and are cut there.
 * Result: one row for each document row and item with the best similarity of at
   least ``threshold``; first and last word of that stretch (end exclusive), the
@@ -147,9 +150,10 @@ def fingerprints(sums: np.ndarray, window: int, step: int, width: int) -> np.nda
     ones = np.uint64(sum(1 << (width * k) for k in range(64 // width)))
     shift = ones * np.uint64((1 << (width - 1)) - (window // 2 + 1))  # a majority carries into a lane's top bit
     top = ones << np.uint64(width - 1)
-    out = np.zeros(len(range(0, sums.shape[1] - window, step)), np.uint64)
+    last = max(0, sums.shape[1] - window)  # fewer words than a window: none
+    out = np.zeros(len(range(0, last, step)), np.uint64)
     for r in range(width):
-        v = sums[r, window::step] - sums[r, : sums.shape[1] - window : step]
+        v = sums[r, window::step] - sums[r, :last:step]
         v += shift
         v &= top
         v >>= np.uint64(width - 1 - r)

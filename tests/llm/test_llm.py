@@ -198,6 +198,16 @@ def test_hamming_blocks_find_all_in_radius():
     assert set(range(50)) <= {int(a) for a, b in zip(w, f, strict=True) if a == b}
 
 
+def test_leaks_in_short_batches():
+    rnd = random.Random(14)
+    items = [[f"v{rnd.randint(0, 5000)}" for _ in range(n)] for n in (2, 4, 9, 30, 80, 110, 300)]
+    held = decontaminate.Items(list(range(len(items))), [" ".join(i) for i in items], 0.8)
+    for n in (1, 3, 8, 40, 80, 110, 250):
+        for doc in ([f"u{k}" for k in range(n)], *([*i, *["u"] * n] for i in items)):
+            got = {i for _, i, *_ in held.search(*decontaminate.word_hashes([" ".join(doc)]))}
+            assert got == {k for k, i in enumerate(items) if doc[: len(i)] == i}
+
+
 def brute_leak(doc, item, size=5):
     grams = lambda w: Counter(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else Counter([tuple(w)])
     own, best = grams(item), (0.0, 0, 0)
