@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,20 @@ def sieve(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
 
 
+def sieve_bits(kept: DataFrame) -> np.ndarray:
+    """A sieve as one array of bytes, 8 MB, to be shipped to Python functions."""
+    out = np.zeros((1 << SIEVE_BITS) // 8, np.uint8)
+    for r in kept.collect():
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the places of 64-bit hashes are set in an array of ``sieve_bits``."""
+    at = (keys.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def in_sieve(df: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     """``df`` with a column _in: whether the place of its hash in ``key`` is set in the sieve."""
     at = F.bitmap_bit_position(place(F.col(key)))

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import arrow_batches, in_sieve, join_hot, materialise, release, row_key, same, sieve, table
 from .graph import components
+from .short_keys import SHORT, dealt, shard_bits, short
 
 
 def prefix_length(n: int, threshold: Fraction) -> int:
@@ -77,16 +78,8 @@ def _scan(docs: DataFrame, size: int, pick, columns: str, build, batch_bytes: in
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, n long{columns}")
 
 
-#: Leading bits of a token by which frequencies and shared keys are counted, kept in five bytes; if tokens clash, only more pairs are looked at.
-SHORT = 40
-
-
-def _short(tokens: np.ndarray) -> np.ndarray:
-    return tokens >> np.uint64(64 - SHORT)
-
-
 def _five_bytes(tokens: np.ndarray) -> bytes:
-    return _short(tokens).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+    return short(tokens).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
 def _from_five(packed: bytes) -> np.ndarray:
@@ -125,20 +118,6 @@ def families(classes: DataFrame, threshold: Fraction, agree: int = 3) -> DataFra
     return found
 
 
-def _dealt(keys: np.ndarray, bits: int, *more: np.ndarray):
-    """For each shard of sorted short keys: its number, its keys' lower bits as bytes, and the bytes of ``more``."""
-    shard = (keys >> np.uint64(SHORT - bits)).astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(keys) else np.zeros(1, np.int64)
-    low = (keys & np.uint64((1 << (SHORT - bits)) - 1)).astype(np.uint32)
-    cuts = [(int(a), int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return [int(shard[a]) for a, _ in cuts], *[[x[a:b].tobytes() for a, b in cuts] for x in (low, *more)]
-
-
-def _shard_bits(tokens: int) -> int:
-    """Bits of the number of a shard, so that about two million tokens come to a shard, and lower bits fit in four bytes."""
-    return max(SHORT - 32, min(24, int(tokens // 2_000_000).bit_length()))
-
-
 def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int = 1 << 20) -> np.ndarray:
     """Sorted short tokens in the prefixes of over ``over`` classes, near copies left aside; ``classes``: node, prefix.
 
@@ -146,12 +125,12 @@ def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int
     limit of the frequency doubles.  Any choice gives the same result.
     """
     heads = classes.join(family.select("node").distinct(), "node", "left_anti").select("prefix")
-    bits = _shard_bits(classes.agg(F.sum(F.length("prefix"))).first()[0] // 5 if not classes.isEmpty() else 0)
+    bits = shard_bits(classes.agg(F.sum(F.length("prefix"))).first()[0] // 5 if not classes.isEmpty() else 0)
 
     def deal(batches):
         for b in arrow_batches(batches, 8 << 20, "prefix"):
             got = np.sort(_from_five(b"".join(b.column(0).to_pylist())))
-            shard, low = _dealt(got, bits)
+            shard, low = dealt(got, bits)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(low, pa.binary())], ["shard", "low"])
 
     def count(t: pa.Table) -> pa.Table:
@@ -177,7 +156,7 @@ def postings(docs: DataFrame, size: int, threshold: Fraction, frequent: np.ndarr
     def build(sets):
         often = shipped.value
         singles, pairs, f = [], [], []
-        every = _short(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+        every = short(np.concatenate([*sets, np.zeros(0, np.uint64)]))
         if len(often):
             at = np.minimum(np.searchsorted(often, every), len(often) - 1)
             hot = often[at] == every
@@ -205,17 +184,17 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     Keys move as five bytes with four of the family's hash; of a family that
     has a key many times in a batch, one moves.
     """
-    bits = _shard_bits(keys.agg(F.sum(F.size("singles") + F.size("pairs"))).first()[0] or 0)
+    bits = shard_bits(keys.agg(F.sum(F.size("singles") + F.size("pairs"))).first()[0] or 0)
 
     def deal(batches):
         for b in arrow_batches(batches, 8 << 20, "singles"):
             own = np.concatenate([np.diff(b.column(k).offsets.to_numpy()) for k in (1, 2)])
             family = np.repeat(np.tile(b.column(0).to_numpy() & 0xFFFFFFFF, 2), own)
-            every = _short(np.concatenate([b.column(k).flatten().to_numpy() for k in (1, 2)]).view(np.uint64))
+            every = short(np.concatenate([b.column(k).flatten().to_numpy() for k in (1, 2)]).view(np.uint64))
             order = np.lexsort((family, every))
             every, family = every[order], family[order].astype(np.uint32)
             first = np.r_[True, (every[1:] != every[:-1]) | (family[1:] != family[:-1])] if len(every) else np.zeros(0, bool)
-            shard, low, who = _dealt(every[first], bits, family[first])
+            shard, low, who = dealt(every[first], bits, family[first])
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(low, pa.binary()), pa.array(who, pa.binary())], ["shard", "low", "who"])
 
     def meet(t: pa.Table) -> pa.Table:

@@ -1,12 +1,16 @@
 """Removal of long repeated byte strings, with suffix arrays by induced sorting.
 
-A window is a string of ``length`` bytes.  Windows are dealt to shards by their
-minimizer, the smallest hash of their 24-byte strings, so that equal windows
-always meet; a region is a run of windows of a document with one minimizer.
-Regions that no other region shares a minimizer with are done.  Regions with the
-same bytes are counted before anything moves: one of each is kept, and all the
-windows of those that occur twice are repeated.  The bytes of the regions that
-are left, one of each text, go to their shard and are sorted there:
+A window is a string of ``length`` bytes.  Windows have a minimizer, the smallest
+hash of their 24-byte strings; a region is a run of windows of a document with
+one minimizer.  Minimizers that come once in the corpus are done: which come
+twice is found from five bytes of each.  The other regions are cut by how far
+their windows begin before the minimizer (the same distance in equal windows),
+so that a piece's windows share one long string; its hash is the piece's key,
+and equal windows always meet under one key, however common their minimizer is.
+Pieces with the same bytes are counted before anything moves: one of each is
+kept, and all the windows of those that occur twice are repeated.  The bytes of
+the pieces whose key has different ones, one of each text, go to the key's shard
+and are sorted there:
 
 * suffixes are classified as smaller or larger than the next one;
 * leftmost-smaller substrings are sorted by one induced pass, named, and the
@@ -34,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, row_key, same, table
+from .common import arrow_batches, held, in_sieve, join_hot, materialise, row_key, same, sieve, sieve_bits, table
+from .short_keys import SHORT, dealt, shard_bits, short
 
 GRAM = 24
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -88,24 +93,58 @@ def minimizers(data: bytes, window: int) -> np.ndarray:
     return (best & np.uint64((1 << PLACE) - 1)).astype(np.int64)
 
 
-def regions_of(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """(text, start in it, windows, minimizer's hash, hash of the region's bytes) of every region."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    data = b"".join(texts)
-    if len(data) < window:
-        return (np.zeros(0, np.int64),) * 5
-    begin = np.cumsum(sizes) - sizes
-    at = minimizers(data, window)
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
-    inside = np.arange(len(at)) + window <= (begin + sizes)[owner]
-    new = np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]
-    first = np.flatnonzero(new & inside)
-    # a region ends where the next begins, or with the last window of its text
-    nxt = np.r_[np.flatnonzero(new), len(at)]
-    stop = np.minimum(nxt[np.searchsorted(nxt, first, "right")], (begin + sizes - window + 1)[owner[first]])
-    h = Hashes(np.frombuffer(data, np.uint8))
-    key = h.of(at[first], at[first] + GRAM)
-    return owner[first], first - begin[owner[first]], stop - first, key.view(np.int64), h.of(first, stop + window - 1).view(np.int64)
+class Windows:
+    """The windows of some texts laid end to end, and their minimizers."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.window, self.data = window, b"".join(texts)
+        self.begin = np.cumsum(sizes) - sizes
+        self.end = self.begin + sizes
+        self.at = minimizers(self.data, window) if len(self.data) >= window else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), sizes)[: len(self.at)]
+        self.hash = Hashes(np.frombuffer(self.data, np.uint8))
+
+    def regions(self) -> tuple[np.ndarray, ...]:
+        """(first window, windows, minimizer) of each run of windows of a text with one minimizer."""
+        at, owner = self.at, self.owner
+        if not len(at):
+            return (at,) * 3
+        inside = np.arange(len(at)) + self.window <= self.end[owner]
+        new = np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]
+        first = np.flatnonzero(new & inside)
+        # a region ends where the next begins, or with the last window of its text
+        nxt = np.r_[np.flatnonzero(new), len(at)]
+        stop = np.minimum(nxt[np.searchsorted(nxt, first, "right")], (self.end - self.window + 1)[owner[first]])
+        return first, stop - first, at[first]
+
+    def grams(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the 24-byte strings at ``at``."""
+        return self.hash.of(at, at + GRAM)
+
+    def cut(self, first: np.ndarray, many: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+        """(first window, windows, key, hash of the bytes) of regions, cut by how far windows begin before their minimizer.
+
+        The distance and so its class of ``step`` is the same for equal windows;
+        the key is the hash of the string that all windows of the class share.
+        """
+        high, low = (at - first) // step, (at - first - many + 1) // step
+        pieces = high - low + 1
+        row = np.repeat(np.arange(len(first)), pieces)
+        level = high[row] - (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        core = at[row] - level * step
+        start = np.maximum(first[row], core - step + 1)
+        stop = np.minimum((first + many)[row], core + 1)
+        key = self.hash.of(core, core - step + 1 + self.window) * INVERSE + level.astype(np.uint64)
+        return start, stop - start, key ^ (key >> np.uint64(31)), self.hash.of(start, stop + self.window - 1)
+
+    def probes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the distinct strings of ``size`` bytes that begin at minimizers."""
+        first, _, at = self.regions()
+        ok = at + size <= self.end[self.owner[first]]
+        got = np.unique(np.array([self.owner[first[ok]], self.hash.of(at[ok], at[ok] + size).view(np.int64)]), axis=1)
+        key = got[1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return got[0], key ^ (key >> np.uint64(29))
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -269,26 +308,75 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _regions(docs: DataFrame, length: int, batch_bytes: int = 2 << 20) -> DataFrame:
+def _raw(column) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+
+
+def shared_keys(docs: DataFrame, length: int, probe: int, spacing: int, batch_bytes: int) -> DataFrame:
+    """(key): minimizers of windows that come twice or more, and probes of two texts or more, by their first 40 bits.
+
+    Keys move as five bytes, at most two of each a batch.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = shard_bits(4 * size // spacing)
+
+    def deal(batches):
+        for b in arrow_batches(batches, batch_bytes, "text"):
+            texts = _raw(b.column(0))
+            w = Windows(texts, length)
+            every = np.sort(short(np.concatenate([w.grams(w.regions()[2]), Windows(texts, GRAM + spacing - 1).probes(probe)[1]])))
+            third = np.r_[False, False, every[2:] == every[:-2]] if len(every) > 1 else np.zeros(len(every), bool)
+            shard, low = dealt(every[~third], bits)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(low, pa.binary())], ["shard", "low"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        low = np.sort(np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint32))
+        twice = np.unique(low[1:][low[1:] == low[:-1]])
+        key = (np.uint64(t.column("shard")[0].as_py()) << np.uint64(SHORT - bits)) + twice
+        return pa.table({"key": pa.array((key << np.uint64(64 - SHORT)).view(np.int64))})
+
+    return docs.select("text").mapInArrow(deal, "shard int, low binary").groupBy("shard").applyInArrow(meet, "key long")
+
+
+def _regions(docs: DataFrame, length: int, probe: int, spacing: int, step: int, kept: np.ndarray, batch_bytes: int) -> DataFrame:
+    """(doc_id, th, start, windows, key, content) of the cut regions, and of the probes (no windows), whose keys may be shared."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shipped = docs.sparkSession.sparkContext.broadcast(kept)
 
     def run(batches):
+        bits = shipped.value
         for b in arrow_batches(batches, batch_bytes):
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            owner, start, many, key, content = regions_of(texts, length)
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(key), pa.array(content)], ["doc_id", "th", "start", "windows", "key", "content"])
+            texts = _raw(b.column(1))
+            w = Windows(texts, length)
+            first, many, at = w.regions()
+            ok = held(bits, w.grams(at))
+            start, windows, key, content = w.cut(first[ok], many[ok], at[ok], step)
+            who, probes = Windows(texts, GRAM + spacing - 1).probes(probe)
+            ok = held(bits, probes)
+            owner = np.r_[w.owner[start], who[ok]]
+            zero = np.zeros(int(ok.sum()), np.int32)
+            rows = pa.array(owner)
+            columns = [np.r_[(start - w.begin[w.owner[start]]).astype(np.int32), zero], np.r_[windows.astype(np.int32), zero], np.r_[key, probes[ok]].view(np.int64), np.r_[content, probes[ok]].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), *map(pa.array, columns)], ["doc_id", "th", "start", "windows", "key", "content"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, start int, windows int, key long, content long")
 
 
+def _with_texts(docs: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """``docs`` (doc_id, text) joined with ``few`` (doc_id, th, at): rows (doc_id, text, at), only texts that may have a partner moved; left: all others too."""
+    few = few.withColumn("row", F.xxhash64("doc_id", "th"))
+    keyed = in_sieve(docs.select("text", *row_key()).withColumn("row", F.xxhash64("doc_id", "th")), "row", sieve(few, "row"))
+    near = keyed.where("_in").alias("d").join(few.alias("f"), same("d", "f", "doc_id", "th", "row"), how).select("d.doc_id", "d.th", "d.text", "f.at")
+    return near if how == "inner" else near.unionByName(keyed.where("not _in").select("doc_id", "th", "text", F.lit(None).cast(few.schema["at"].dataType).alias("at")))
+
+
 def _cut(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """The bytes of the regions in ``places`` (doc_id, th, start, windows, key, content)."""
-    lists = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "key", "content")).alias("at"))
-    keyed = docs.select("text", *row_key()).alias("d").join(lists.alias("l"), same("d", "l", "doc_id", "th")).select("d.doc_id", "d.th", "d.text", "l.at").dropDuplicates(["doc_id", "th"]).select("text", "at")
+    lists = materialise(places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "key", "content")).alias("at")), "places")
+    keyed = _with_texts(docs, lists, "inner").dropDuplicates(["doc_id", "th"]).select("text", "at")
 
     def run(batches):
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches, 4 << 20):
             for text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 yield pa.RecordBatch.from_arrays(
@@ -314,32 +402,45 @@ def _sorted_shards(pieces: DataFrame, length: int, shards: int) -> DataFrame:
     return pieces.withColumn("shard", F.pmod(F.col("key"), F.lit(shards))).groupBy("shard").applyInArrow(run, f"key long, content long, runs {RUNS}")
 
 
-def spans(docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, th, runs): the starts of repeated windows of each document that has some."""
-    every = materialise(_regions(docs, length), "regions")
-    keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("m > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
-    shared = materialise(every.join(keys, "key"), "shared")
-    texts = shared.groupBy("key", "content", "mixed").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("one"))
-    texts = materialise(texts.where("mixed or m > 1"), "texts")
-    places = texts.where("mixed").select("one.*", "key", "content")
+def spans(docs: DataFrame, length: int = 400, probe: int = 160, spacing: int = 77, step: int = 128, shard_bytes: int = 1 << 20, batch_bytes: int = 1 << 20, large: int = 1000) -> DataFrame:
+    """(doc_id, th, at: struct of runs and shared) of each document that has some.
+
+    runs: the starts of repeated windows; shared: how many of its strings of
+    ``probe`` bytes at minimizers other texts have too.  Any passage of
+    ``probe + spacing`` bytes that two documents share has such a string.  Values
+    with over ``large`` rows are dealt over tasks.
+    """
+    kept = sieve_bits(sieve(shared_keys(docs, length, probe, spacing, batch_bytes), "key"))
+    every = materialise(_regions(docs, length, probe, spacing, min(step, length - 1), kept, batch_bytes).withColumn("both", F.xxhash64("key", "content")), "regions")
+    texts = every.groupBy("key", "content", "both").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("one"))
+    texts = materialise(texts, "texts")
+    keys = texts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+    mixed = materialise(keys.where("kinds > 1"), "mixed")
+    several = materialise(join_hot(texts.where("one.windows > 0"), mixed, "key", mixed.where(F.col("kinds") > large), ["content"]), "several")
+    places = several.select("one.*", "key", "content", "both")
     size = places.agg(F.sum(F.col("windows") + length)).first()[0] or 0
-    found = _sorted_shards(_cut(docs, places, length), length, max(1, int(-(-size // shard_bytes))))
-    found = found.where(F.size("runs") > 0)
-    whole = texts.where("m > 1").select("key", "content", F.array(F.struct(F.lit(0).alias("lo"), F.col("one.windows").alias("hi"))).cast(RUNS).alias("runs"))
-    found = materialise(found.join(whole.select("key", "content"), ["key", "content"], "left_anti").unionByName(whole), "runs")
+    found = _sorted_shards(_cut(docs, places, length), length, max(1, int(-(-size // shard_bytes)))).withColumn("both", F.xxhash64("key", "content"))
+    found = found.where(F.size("runs") > 0).select("both", "runs")
+    again = texts.where("m > 1")
+    whole = again.select("both", F.array(F.struct(F.lit(0).alias("lo"), F.col("one.windows").alias("hi"))).cast(RUNS).alias("runs"), "m")
+    found = found.join(whole.select("both"), "both", "left_anti").withColumn("m", F.lit(1).cast("long")).unionByName(whole)
+    found = materialise(found, "runs")
     shifted = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("start")).alias("lo"), (r["hi"] + F.col("start")).alias("hi")))
-    return shared.join(found, ["key", "content"]).select("doc_id", "th", shifted.alias("runs")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    hits = join_hot(every, found, "both", found.where(F.col("m") > large), ["doc_id", "th", "start"])
+    hits = hits.select("doc_id", "th", F.when(F.col("windows") > 0, shifted).alias("runs"), (F.col("windows") == 0).cast("long").alias("shared"))
+    found = hits.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.sum("shared").alias("shared"))
+    return found.select("doc_id", "th", F.struct("runs", "shared").alias("at"))
 
 
 def removed(docs: DataFrame, length: int = 400, **how) -> DataFrame:
-    """doc_id, text, kept (binary), n_bytes, n_removed, n_spans of every row of ``docs`` (doc_id, text)."""
+    """doc_id, kept (binary), kept_sha256, n_bytes, n_removed, n_spans, n_shared of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = spans(docs, length, **how)
-    joined = docs.select("text", *row_key()).alias("d").join(found.alias("f"), same("d", "f", "doc_id", "th"), "left").select("d.doc_id", "d.text", "f.runs")
+    found = materialise(spans(docs, length, **how), "spans")
+    joined = _with_texts(docs, found, "left").select("doc_id", "text", "at.runs", F.coalesce("at.shared", F.lit(0).cast("long")).alias("shared"))
 
     def run(batches):
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches, 4 << 20):
             kept, n, gone, many = [], [], [], []
             for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -358,10 +459,11 @@ def removed(docs: DataFrame, length: int = 400, **how) -> DataFrame:
                 n.append(len(data))
                 gone.append(len(data) - len(kept[-1]))
                 many.append(len(cover))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64())], ["doc_id", "kept", "kept_sha256", "n_bytes", "n_removed", "n_spans"])
+            columns = [pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), *[pa.array(x, pa.int64()) for x in (n, gone, many)], b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "kept", "kept_sha256", "n_bytes", "n_removed", "n_spans", "n_shared"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, kept binary, kept_sha256 string, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(run, f"doc_id {kind}, kept binary, kept_sha256 string, n_bytes long, n_removed long, n_spans long, n_shared long")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")

@@ -262,6 +262,18 @@ def test_substrings_against_brute_force(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_removed(texts, 50)
 
 
+def test_long_substrings_and_shared_passages(spark):
+    rnd = random.Random(17)
+    text = lambda n: " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    passage, common_one, long_one = text(51), text(52), text(120)
+    texts = [text(150) for _ in range(20)]
+    texts += [f"{text(60)} {passage} {text(60)}" for _ in range(2)] + [f"{text(30)} {common_one} {text(30)}" for _ in range(40)] + [f"{text(30)} {long_one[k:]} {text(30)}" for k in range(3)]
+    assert 237 <= min(len(passage), len(common_one)) and max(len(passage), len(common_one)) < 400 < len(long_one)
+    got = {r["doc_id"]: r for r in substring_dedup.removed(docs_of(spark, texts), large=10).collect()}
+    assert {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in got.items()} == brute_removed(texts, 400)
+    assert [k for k, r in sorted(got.items()) if r["n_shared"]] == list(range(20, 65))
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(4)
     for _ in range(60):
