@@ -199,7 +199,7 @@ def train(docs: DataFrame, train_docs: int = 120, train_chars: int = 30_000) ->
     return Model({k: v[:train_docs] for k, v in texts.items()}, train_chars)
 
 
-def identify(docs: DataFrame, model: Model, block: int = 2048, sharpness: float = 8.0, batch_bytes: int = 8 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: Model, block: int = 2048, sharpness: float = 8.0, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, lang_pred, score, phrases and characters of every row of ``docs``."""
     langs = np.array(model.langs + ["und"], object)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train_chars and the number of languages
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model, block: int = 2048, sharpness: float
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, lang_pred string, score double, n_phrases long, n_letters long")
 
 
-def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_bytes: int = 8 << 20) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_bytes: int = 4 << 20) -> DataFrame:
     """The rows and columns of ``docs`` whose text has a letter; where lang is null it becomes the predicted language.
 
     With a model that has learned no language, lang stays as it is.

@@ -60,7 +60,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)), pa.array(flat))
 
 
-def _scan(docs: DataFrame, size: int, pick, columns: str, build, batch_bytes: int = 4 << 20) -> DataFrame:
+def _scan(docs: DataFrame, size: int, pick, columns: str, build, batch_bytes: int = 1 << 20) -> DataFrame:
     """Run ``build(sets)`` over the sets of each batch; doc_id, th, node, n come first."""
 
     def run(batches):
@@ -128,7 +128,7 @@ def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int
     bits = shard_bits(classes.agg(F.sum(F.length("prefix"))).first()[0] // 5 if not classes.isEmpty() else 0)
 
     def deal(batches):
-        for b in arrow_batches(batches, 8 << 20, "prefix"):
+        for b in arrow_batches(batches, 4 << 20, "prefix"):
             got = np.sort(_from_five(b"".join(b.column(0).to_pylist())))
             shard, low = dealt(got, bits)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(low, pa.binary())], ["shard", "low"])
@@ -150,12 +150,15 @@ def frequent_tokens(classes: DataFrame, family: DataFrame, over: int, most: int
 
 
 def postings(docs: DataFrame, size: int, threshold: Fraction, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, th, node, n, f, singles, pairs): the index keys of each document; f: frequent tokens in its prefix."""
+    """(doc_id, th, node, n, f, singles, pairs, reach): the index keys of each document; f: frequent tokens in its prefix.
+
+    reach: for each pair the tokens that a set shares with another at most, if these two are the first that they share.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def build(sets):
         often = shipped.value
-        singles, pairs, f = [], [], []
+        singles, pairs, reach, f = [], [], [], []
         every = short(np.concatenate([*sets, np.zeros(0, np.uint64)]))
         if len(often):
             at = np.minimum(np.searchsorted(often, every), len(often) - 1)
@@ -172,10 +175,11 @@ def postings(docs: DataFrame, size: int, threshold: Fraction, frequent: np.ndarr
             a, b = np.triu_indices(len(common), 1)
             singles.append(rare)
             pairs.append(shingles.mix(common[a] * shingles.MULT + common[b]) if len(a) else common[:0])
+            reach.append((len(s) - len(rare) - b + 1).astype(np.uint64))
             f.append(len(common))
-        return {"f": pa.array(f, pa.int32()), "singles": _lists(singles), "pairs": _lists(pairs)}
+        return {"f": pa.array(f, pa.int32()), "singles": _lists(singles), "pairs": _lists(pairs), "reach": _lists(reach)}
 
-    return _scan(docs, size, True, ", f int, singles array<long>, pairs array<long>", build)
+    return _scan(docs, size, True, ", f int, singles array<long>, pairs array<long>, reach array<long>", build)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -187,7 +191,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     bits = shard_bits(keys.agg(F.sum(F.size("singles") + F.size("pairs"))).first()[0] or 0)
 
     def deal(batches):
-        for b in arrow_batches(batches, 8 << 20, "singles"):
+        for b in arrow_batches(batches, 4 << 20, "singles"):
             own = np.concatenate([np.diff(b.column(k).offsets.to_numpy()) for k in (1, 2)])
             family = np.repeat(np.tile(b.column(0).to_numpy() & 0xFFFFFFFF, 2), own)
             every = short(np.concatenate([b.column(k).flatten().to_numpy() for k in (1, 2)]).view(np.uint64))
@@ -205,36 +209,57 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         token = (np.uint64(t.column("shard")[0].as_py()) << np.uint64(SHORT - bits)) + np.unique(low[again])
         return pa.table({"token": pa.array((token << np.uint64(64 - SHORT)).view(np.int64))})
 
-    dealt = keys.select(F.xxhash64("family").alias("family"), "singles", "pairs").mapInArrow(deal, "shard int, low binary, who binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "token long")
+    moved = keys.select(F.xxhash64("family").alias("family"), "singles", "pairs").mapInArrow(deal, "shard int, low binary, who binary")
+    return moved.groupBy("shard").applyInArrow(meet, "token long")
+
+
+def merged(p: DataFrame, large: int) -> DataFrame:
+    """(family, into): families to be taken as one, as two keys at least join one with ``large`` classes or more of the other; ``p``: node, family, key.
+
+    Any choice of families gives the same result; a class beside a large family
+    would else make a pair with each of its classes.
+    """
+    crowd = materialise(p.groupBy("key", "family").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= large).select("key", F.col("family").alias("crowd")), "crowds")
+    own = p.select("key", "family").distinct()
+    near = own.join(crowd, "key").where("family <> crowd").groupBy("family", "crowd").agg(F.count_distinct("key").alias("keys")).where("keys > 1")
+    return components(near.select(F.col("family").alias("a"), F.col("crowd").alias("b"))).select(F.col("node").alias("family"), F.col("component").alias("into"))
 
 
-def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) of classes of different families that may be similar; ``keys``: node, family, n, f, singles, pairs."""
+def candidates(keys: DataFrame, threshold: Fraction, large: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes of different families that may be similar, and ``merged`` families; ``keys``: node, family, n, f, singles, pairs, reach.
+
+    The first token that two similar sets share is a single, or their first two
+    are a pair, which then has the reach: other pairs of tokens need not meet.
+    """
     found = sieve(shared_keys(keys), "token")
     head = ["node", "family", "n", "f"]
-    single = keys.select(*head, F.explode("singles").alias("key"), F.lit(1).alias("w"))
-    paired = keys.where(F.size("pairs") > 0).select(*head, F.explode("pairs").alias("key"), F.lit(0).alias("w"))
-    p = materialise(in_sieve(single.unionByName(paired), "key", found).where("_in").select(*head, "key", "w"), "postings")
+    single = keys.select(*head, F.explode("singles").alias("key"), F.col("n").alias("reach"), F.lit(1).alias("w"))
+    paired = keys.where(F.size("pairs") > 0).select(*head, F.explode(F.arrays_zip("pairs", "reach")).alias("p")).select(*head, F.col("p.pairs").alias("key"), F.col("p.reach").alias("reach"), F.lit(0).alias("w"))
+    p = materialise(in_sieve(single.unionByName(paired), "key", found).where("_in").select(*head, "key", "reach", "w"), "postings")
+    same_family = materialise(merged(p, large), "merged")
+    p = p.join(same_family, "family", "left").withColumn("family", F.coalesce("into", "family")).drop("into")
     t, o = threshold, threshold / (1 + threshold)
     x, y = p.alias("x"), p.alias("y")
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.family") != F.col("y.family")) & (F.col("x.node") < F.col("y.node"))
     sized = (F.col("x.n") * t.denominator >= F.col("y.n") * t.numerator) & (F.col("y.n") * t.denominator >= F.col("x.n") * t.numerator)
-    pairs = x.join(y, meets & sized).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum("x.w").alias("c"), *[F.first(f"{s}.{k}").alias(f"{k}{s}") for s in "xy" for k in ("n", "f")])
+    far = F.least("x.reach", "y.reach") * o.denominator >= (F.col("x.n") + F.col("y.n")) * o.numerator
+    pairs = x.join(y, meets & sized & far).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum("x.w").alias("c"), *[F.first(f"{s}.{k}").alias(f"{k}{s}") for s in "xy" for k in ("n", "f")])
     rest = lambda s: F.col(f"n{s}") - F.least(f"n{s}", F.col(f"n{s}") - F.ceil(F.col(f"n{s}") * t.numerator / t.denominator - 1e-9) + 2)
     most = F.col("c") + F.least("fx", "fy") + F.greatest(rest("x"), rest("y"))
-    return pairs.where(most * o.denominator >= (F.col("nx") + F.col("ny")) * o.numerator).select("a", "b")
+    return pairs.where(most * o.denominator >= (F.col("nx") + F.col("ny")) * o.numerator).select("a", "b"), same_family
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(node, n, tokens binary) of the classes in ``nodes``, from the whole text of one document each."""
+def whole_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, family: DataFrame, size: int) -> DataFrame:
+    """(family, node, n, tokens binary) of the classes in ``nodes``, from the whole text of one document each; ``family``: node, component."""
     one = classes.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("k"))
-    one = materialise(one.select("k.doc_id", "k.th", F.xxhash64("k.doc_id", "k.th").alias("row")), "readers")
+    one = one.join(family, "node", "left")
+    one = materialise(one.select("k.doc_id", "k.th", F.xxhash64("k.doc_id", "k.th").alias("row"), F.col("component").alias("family")), "readers")
     keyed = docs.select("text", *row_key()).withColumn("row", F.xxhash64("doc_id", "th"))
     near = in_sieve(keyed, "row", sieve(one, "row")).where("_in").drop("_in")
-    picked = near.alias("d").join(one.alias("o"), same("d", "o", "doc_id", "th", "row"), "left_semi").dropDuplicates(["doc_id", "th", "row"])
+    picked = near.alias("d").join(one.alias("o"), same("d", "o", "doc_id", "th", "row")).select("d.doc_id", "d.th", "d.row", "d.text", "o.family").dropDuplicates(["doc_id", "th", "row"])
+    picked = picked.select(F.col("family").alias("doc_id"), "text")
     build = lambda sets: {"tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
-    return _scan(picked, size, True, ", tokens binary", build).select("node", "n", "tokens")
+    return _scan(picked, size, True, ", tokens binary", build).select(F.col("doc_id").alias("family"), "node", "n", "tokens")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -272,7 +297,7 @@ def consensus(members: DataFrame) -> DataFrame:
     """
 
     def count(batches):
-        for b in arrow_batches(batches, 8 << 20, "tokens"):
+        for b in arrow_batches(batches, 4 << 20, "tokens"):
             lists = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
             if not lists:
                 continue
@@ -306,7 +331,7 @@ def differences(members: DataFrame, cores: DataFrame, threshold: Fraction) -> Da
     num, den = threshold.numerator, threshold.numerator + threshold.denominator
 
     def run(batches):
-        for b in arrow_batches(batches, 8 << 20, "tokens"):
+        for b in arrow_batches(batches, 4 << 20, "tokens"):
             diffs, g = [], []
             for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 own, core = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -336,8 +361,9 @@ def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, thresh
     """
     m = materialise(_components(family.withColumnRenamed("component", "family"), links), "members")
     apart = m.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
-    m = materialise(_spread(m, apart).select("node", "family"), "split").join(sets, "node")
-    diffs = materialise(differences(m.select("node", "family", "n", "tokens"), materialise(consensus(m), "cores"), threshold), "differences")
+    apart = apart.select(F.xxhash64("family").alias("key"))
+    m = in_sieve(sets.where("family is not null").withColumn("key", F.xxhash64("family")), "key", sieve(apart, "key")).where("_in").select("node", "family", "n", "tokens")
+    diffs = materialise(differences(m, materialise(consensus(m), "cores"), threshold), "differences")
     centre = diffs.groupBy("family").agg(F.min(F.struct("g", "node")).alias("c")).select("family", F.col("c.g").alias("least"), F.col("c.node").alias("centre"))
     star = _spread(diffs.select("node", "family", "g"), centre).where("g + least <= 0 AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     star = materialise(star, "stars")
@@ -371,12 +397,16 @@ def grouped(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5)
     often = frequent_tokens(classes.groupBy("node").agg(F.first("prefix").alias("prefix")), members, frequent)
     ids = materialise(every.drop("lowest", "prefix"), "ids")
     release(every)
-    keys = postings(docs, size, threshold, often).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "singles", "pairs")])
-    keys = materialise(keys.join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"), "n", "f", "singles", "pairs"), "keys")
-    pairs = materialise(candidates(keys, threshold).unionByName(near.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "candidates")
+    keys = postings(docs, size, threshold, often).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "singles", "pairs", "reach")])
+    keys = materialise(keys.join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"), "n", "f", "singles", "pairs", "reach"), "keys")
+    pairs, same_family = candidates(keys, threshold)
+    pairs = materialise(pairs.unionByName(near.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "candidates")
+    family = keys.select("node", "family").join(same_family, "family", "left").withColumn("component", F.coalesce("into", "family"))
+    family = family.join(family.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("component"), "component")
+    family = materialise(family.select("node", "component"), "families")
     release(keys)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(family.select("node")).distinct()
-    sets = materialise(whole_sets(docs, nodes, ids.where("n > 0"), size), "sets")
+    sets = materialise(whole_sets(docs, nodes, ids.where("n > 0"), family, size), "sets")
     links = materialise(verified(pairs, sets, threshold), "verified")
     found = components(links.unionByName(inside_families(sets, family, links, threshold)))
     release(sets)
