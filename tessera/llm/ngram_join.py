@@ -222,7 +222,9 @@ def merged(p: DataFrame, large: int) -> DataFrame:
     crowd = materialise(p.groupBy("key", "family").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= large).select("key", F.col("family").alias("crowd")), "crowds")
     own = p.select("key", "family").distinct()
     near = own.join(crowd, "key").where("family <> crowd").groupBy("family", "crowd").agg(F.count_distinct("key").alias("keys")).where("keys > 1")
-    return components(near.select(F.col("family").alias("a"), F.col("crowd").alias("b"))).select(F.col("node").alias("family"), F.col("component").alias("into"))
+    found = components(near.select(F.col("family").alias("a"), F.col("crowd").alias("b"))).select(F.col("node").alias("family"), F.col("component").alias("into"))
+    nobody = found.sparkSession.range(1).select(F.lit(None).cast("long").alias("family"), F.lit(None).cast("long").alias("into"))
+    return found.unionByName(nobody)  # never empty, so that plans and their row counts are alike at every size
 
 
 def candidates(keys: DataFrame, threshold: Fraction, large: int = 64) -> tuple[DataFrame, DataFrame]:

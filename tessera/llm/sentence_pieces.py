@@ -233,7 +233,7 @@ def decode(ids: list[int], model: Pieces) -> str:
     return b"".join(map(model.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, model: Pieces, batch_bytes: int = 2 << 20, held_units: int = 200_000, unit_chars: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, model: Pieces, batch_bytes: int = 2 << 20, held_units: int = 100_000, unit_chars: int = 200_000) -> DataFrame:
     """doc_id, ids, n_ids, round_trip of every row of ``docs`` (doc_id, text)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # the size of the model's vocabulary
 
