@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import sample
+from .graph import numbered, sample
 
 
 def by_node(edges: DataFrame) -> DataFrame:
@@ -37,13 +37,13 @@ def estimate(edges: DataFrame, sampling: int | None = 10_000, seed: int = 466439
 def two_nn(edges: DataFrame, sampling: int | None = None, seed: int = 4664397) -> DataFrame:
     """One row (dim): slope of -ln(1 - F) over ln(r), r the ratio of the two nearest distances.
 
-    The rank of each ratio is needed among all; pass ``sampling`` to bound the sort.
+    The rank of each ratio is needed among all; ranges of ratios are sorted apart.
     """
     two = edges.where("rank <= 2").groupBy("src").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("d2"))
     r = two.where("d1 > 0 and d2 is not null").select("src", (F.col("d2") / F.col("d1")).alias("r"))
     if sampling is not None:
         r = sample(r, sampling, seed)
     n = r.agg(F.count(F.lit(1)).alias("n"))
-    ranked = r.withColumn("k", F.row_number().over(Window.orderBy("r", "src")) - 1).join(F.broadcast(n), how="cross")
+    ranked = numbered(r, ["r", "src"], "k").join(F.broadcast(n), how="cross")
     x, y = F.log("r"), -F.log(1 - F.col("k") / F.col("n"))
     return ranked.agg((F.sum(x * y) / F.sum(x * x)).alias("dim"))

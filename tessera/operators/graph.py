@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import keep
+
 SCHEMA = "src long, dst long, dist double, rank int"
 
 
@@ -17,17 +19,23 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
-def node_index(ids: DataFrame) -> DataFrame:
-    """(id, idx): dense numbers from 0 in order of id.
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with dense numbers from 0 in ``order`` (which should tell all rows apart) as column ``name``.
 
-    Numbers are given range by range: ids are range-partitioned and sorted, the
-    counts of earlier ranges are added, so no task sees all ids.
+    Numbers are given range by range: rows are range-partitioned and sorted, the
+    counts of earlier ranges are added, so no task sees all rows.
     """
-    part = ids.select("id").distinct().repartitionByRange("id").withColumn("p", F.spark_partition_id())
-    local = part.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("id")))
+    by = [F.col("row")[c] for c in order]
+    part = keep(rows.select(F.struct("*").alias("row")).repartitionByRange(*by).withColumn("p", F.spark_partition_id()))
+    local = part.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(*by)))
     sizes = part.groupBy("p").count()
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("base"))
-    return local.join(F.broadcast(before), "p").select("id", (F.col("base") + F.col("r") - 1).alias("idx"))  # one row a partition
+    return local.join(F.broadcast(before), "p").select("row.*", (F.col("base") + F.col("r") - 1).alias(name))  # one row a partition
+
+
+def node_index(ids: DataFrame) -> DataFrame:
+    """(id, idx): dense numbers from 0 in order of id."""
+    return numbered(ids.select("id").distinct(), ["id"], "idx")
 
 
 def out_edges(edges: DataFrame, node: int) -> DataFrame:

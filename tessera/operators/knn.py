@@ -14,6 +14,8 @@ from 1 by distance, ties by ``dst``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -141,10 +143,16 @@ def _tiles(queries: DataFrame, points: DataFrame, k: int, metric: str, rows: int
     return left.join(right, ["g", "bucket"]).select("ia", "ma", "ib", "mb").mapInArrow(_tile(metric, k), EDGES)
 
 
-def knn(points: DataFrame, k: int = 10, metric: str = "l2", method: str = "tiles", queries: DataFrame | None = None, rows: int = 1024, spread: int = 8, tables: int = 12, bits: int = 6, seed: int = 4664397) -> DataFrame:
-    """The k nearest neighbours of every point (or of ``queries``), as edges (src, dst, dist, rank)."""
+def knn(points: DataFrame, k: int = 10, metric: str = "l2", method: str = "tiles", queries: DataFrame | None = None, rows: int = 1024, spread: int | None = None, tables: int = 48, bits: int = 6, seed: int = 4664397) -> DataFrame:
+    """The k nearest neighbours of every point (or of ``queries``), as edges (src, dst, dist, rank).
+
+    ``spread``: how many times blocks of queries are replicated, and so tasks;
+    by default it grows with the root of the number of blocks of points.
+    """
     metric = metric_name(metric)
     queries = points if queries is None else queries
+    if spread is None and method == "tiles":
+        spread = max(8, math.isqrt(4 * (points.count() // rows + 1)))
     if method == "sql":
         a, b = queries.alias("a"), points.alias("b")
         d = a.join(b, F.col("a.id") != F.col("b.id")).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), distance(metric, F.col("a.v"), F.col("b.v")).alias("dist"))

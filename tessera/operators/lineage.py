@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder of spark.checkpoint.dir; a local folder is set only where none is.
+    """``df`` as a checkpoint in the shared folder of spark.checkpoint.dir; a local folder is set only where none is and the master is local.
 
     Plans that nest cached tables grow with every level; checkpointed ones do not, and they survive lost executors.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import keep
@@ -107,19 +107,20 @@ def labels(nodes: DataFrame, links: DataFrame, driver: int = DRIVER) -> DataFram
 
 def single_linkage(edges: DataFrame, nb_clusters: int) -> DataFrame:
     """(id, cluster): the spanning forest without its heaviest edges, so that ``nb_clusters`` remain (or the forest's trees, if more)."""
-    from .graph import nodes
+    from .graph import nodes, numbered
 
     ids = nodes(edges)
     forest = keep(spanning_forest(edges))
     n = ids.count()
     links = max(0, min(forest.count(), n - nb_clusters))
-    kept = forest.orderBy("w", "a", "b").limit(links) if links else forest.limit(0)
-    return labels(ids, kept)
+    return labels(ids, numbered(forest, ["w", "a", "b"], "step").where(F.col("step") < links).drop("step"))
 
 
 def dendrogram(edges: DataFrame) -> DataFrame:
     """(step, a, b, w): merges of single linkage, lightest first."""
-    return spanning_forest(edges).withColumn("step", F.row_number().over(Window.orderBy("w", "a", "b"))).select("step", "a", "b", "w")
+    from .graph import numbered
+
+    return numbered(spanning_forest(edges), ["w", "a", "b"], "step").select((F.col("step") + 1).alias("step"), "a", "b", "w")
 
 
 def h0_barcode(edges: DataFrame) -> DataFrame:

@@ -301,3 +301,19 @@ def test_entry_imports():
 
     q, sql = entry.queries(), entry.oracle_sql()
     assert len(q) > 60 and set(sql) <= set(q)
+
+
+def test_numbers_and_merges_in_order(spark):
+    from tessera.operators import graph, mst
+
+    rows = spark.range(300).select(((F.col("id") * 7919) % 300).alias("v"), F.lit("x").alias("_r"))
+    got = graph.numbered(rows.repartition(5), ["v"], "k").collect()
+    assert len(got) == 300 and all(r["v"] == r["k"] and r["_r"] == "x" for r in got)
+    edges = spark.createDataFrame([(0, 1, 1.0, 1), (1, 2, 3.0, 1), (2, 3, 2.0, 1), (3, 0, 9.0, 1)], graph.SCHEMA)
+    assert [tuple(r) for r in mst.dendrogram(edges).orderBy("step").collect()] == [(1, 0, 1, 1.0), (2, 2, 3, 2.0), (3, 1, 2, 3.0)]
+    assert mst.single_linkage(edges, 2).select("cluster").distinct().count() == 2
+
+
+def test_approximate_graph_of_the_embeddings_has_recall_of_nine_tenths(spark):
+    p = knn.vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding")
+    assert knn.recall(knn.knn(p, 10), knn.knn(p, 10, method="approx")).first()[0] >= 0.9
