@@ -223,8 +223,10 @@ def merged(p: DataFrame, large: int) -> DataFrame:
     own = p.select("key", "family").distinct()
     near = own.join(crowd, "key").where("family <> crowd").groupBy("family", "crowd").agg(F.count_distinct("key").alias("keys")).where("keys > 1")
     found = components(near.select(F.col("family").alias("a"), F.col("crowd").alias("b"))).select(F.col("node").alias("family"), F.col("component").alias("into"))
-    nobody = found.sparkSession.range(1).select(F.lit(None).cast("long").alias("family"), F.lit(None).cast("long").alias("into"))
-    return found.unionByName(nobody)  # never empty, so that plans and their row counts are alike at every size
+    # A row that changes nothing (into: null) keeps the table from being empty, so that the plan is alike at every size.
+    # Its family is no null: the join would filter a null out, find an empty table and be left out of the plan.
+    nobody = found.sparkSession.range(1).select(F.col("id").alias("family"), F.lit(None).cast("long").alias("into"))
+    return found.unionByName(nobody.join(found.where("family = 0").select("family"), "family", "left_anti"))
 
 
 def candidates(keys: DataFrame, threshold: Fraction, large: int = 64) -> tuple[DataFrame, DataFrame]:
