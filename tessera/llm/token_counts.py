@@ -15,6 +15,9 @@ Definitions:
   a document of their own unless there are none.
 * An empty document (two separators in a row) counts 0 tokens.
 * A file whose size is no multiple of the id's width raises an error.
+* A null text is an empty document.  Rows with a null doc_id and repeated rows
+  are counted like any other; an empty table gives no rows.  A text of any
+  length is cut over blocks.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 END = 50256
 
-BLOCKS = "file long, block long, data binary, docs binary"
-SUMMARY = "file long, block long, n_seps long, head long, tail long, inner binary, docs binary"
+BLOCKS = "file long, block long, data binary, docs array<long>"
+SUMMARY = "file long, block long, n_seps long, head long, tail long, inner binary, docs array<long>"
 
 
 def scan_block(data: bytes, end: int, dtype: str = "<u2") -> tuple[int, int, int, np.ndarray]:
@@ -50,7 +53,7 @@ def scan(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataFrame:
     """One summary row for each block (file, block, data, docs): see SUMMARY."""
 
     def run(batches):
-        schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("n_seps", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("inner", pa.binary()), ("docs", pa.binary())])
+        schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("n_seps", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("inner", pa.binary()), ("docs", pa.list_(pa.int64()))])
         for b in batches:
             for file, block, data, docs in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                 n, head, tail, inner = scan_block(data or b"", end, dtype)
@@ -122,7 +125,7 @@ def flat_blocks(spark: SparkSession, path: str, block_bytes: int = 4 << 20) -> D
         for b in batches:
             for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k in range(0, max(len(data), 1), block_bytes):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // block_bytes]), pa.array([data[k : k + block_bytes]], pa.binary()), pa.array([None], pa.binary())], ["file", "block", "data", "docs"])
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // block_bytes]), pa.array([data[k : k + block_bytes]], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "data", "docs"])
 
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path"), "content").mapInArrow(run, BLOCKS)
 
@@ -144,8 +147,7 @@ def token_stream(docs: DataFrame, ranks: bytes, block_bytes: int = 1 << 20, batc
 
         def flush():
             nonlocal held, size, begun, block
-            ids = np.array(begun, np.int64).tobytes()
-            out = pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([ids], pa.binary())], ["file", "block", "data", "docs"])
+            out = pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([begun], pa.list_(pa.int64()))], ["file", "block", "data", "docs"])
             held, size, begun, block = [], 0, [], block + 1
             return out
 
@@ -171,22 +173,24 @@ def named(stitched: DataFrame) -> DataFrame:
     """(file, ordinal, doc_id): the documents that begin in each block, in order."""
 
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    s = stitched.where(F.col("docs").isNotNull()).withColumn("n", (F.length("docs") / 8).cast("long"))
+    s = stitched.where(F.col("docs").isNotNull()).withColumn("n", F.size("docs").cast("long"))
     s = s.withColumn("begin", F.coalesce(F.sum("n").over(order), F.lit(0)))
 
     def run(batches):
         for b in batches:
             for file, begin, docs in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                ids = np.frombuffer(docs, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), file, np.int64)), pa.array(begin + np.arange(len(ids))), pa.array(ids)], ["file", "ordinal", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), file, np.int64)), pa.array(begin + np.arange(len(docs))), pa.array(docs, pa.int64())], ["file", "ordinal", "doc_id"])
 
     return s.select("file", "begin", "docs").mapInArrow(run, "file long, ordinal long, doc_id long")
 
 
+def counts(docs: DataFrame, ranks: bytes, block_bytes: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_tokens) of every row of ``docs`` (doc_id, text), by way of their flat token stream."""
+    stitched = stitch(materialise(scan(token_stream(docs, ranks, block_bytes)), "token-blocks"))
+    return lengths(stitched).join(named(stitched), ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(RANKS, "rb") as f:
         ranks = f.read()
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
-    summary = materialise(scan(token_stream(docs, ranks)), "token-blocks")
-    stitched = stitch(summary)
-    return lengths(stitched).join(named(stitched), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    return counts(table(spark, sf_dir, "documents"), ranks)

@@ -305,6 +305,21 @@ def test_token_counts(spark, tmp_path):
         assert sorted(got.values()) == sorted([[3, 0, 1, 50, 0, 2, 2], [0]])
 
 
+@pytest.mark.parametrize("block_bytes", [64, 1 << 20])
+def test_token_counts_of_documents(spark, odd, none, block_bytes):
+    import base64
+
+    import tiktoken
+
+    with open(token_counts.RANKS, "rb") as f:
+        ranks = f.read()
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    encoder = tiktoken.Encoding("flat", pat_str=token_counts.PATTERN, mergeable_ranks=known, special_tokens={})
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.counts(odd.repartition(3), ranks, block_bytes).collect())
+    assert got == Counter((r["doc_id"], len(encoder.encode(r["text"] or "", disallowed_special=()))) for r in odd.collect())
+    assert token_counts.counts(none, ranks).count() == 0
+
+
 def test_language(spark):
     en, fr = "the and of that with this from was ", "les des une dans pour avec est que "
     d = spark.createDataFrame([(i, (en if i % 2 else fr) * 20, "en" if i % 2 else "fr") for i in range(30)], "doc_id long, text string, lang string")
