@@ -378,11 +378,13 @@ def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, thresh
     unit = 2 * (threshold.numerator + threshold.denominator)
     now = _spread(now, outside).withColumn("out", F.col("component") != F.col("main"))
     now = materialise(now.select("node", "family", "component", "out", "n", "g", "d", "diff", *[F.greatest(F.lit(1), F.ceil((F.col("g") + F.col(k)) / unit)).alias(s) for k, s in (("least", "s_all"), ("loose", "s_out"))]), "apart")
-    keys = lambda s: now.where(F.col(s) <= F.col("d")).select("node", "family", "component", "out", "g", "d", F.explode(F.slice("diff", F.lit(1), (F.col("d") - F.col(s) + 1).cast("int"))).alias("key"), (F.col(s) - 1).alias("rest"))
+    keys = lambda s: now.where(F.col(s) <= F.col("d")).select("node", "family", "component", "out", "g", "d", F.posexplode(F.slice("diff", F.lit(1), (F.col("d") - F.col(s) + 1).cast("int"))).alias("at", "key"), (F.col(s) - 1).alias("rest"))
     x, y = keys("s_all").where("out").alias("x"), keys("s_out").alias("y")
     meets = (F.col("x.family") == F.col("y.family")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.node") < F.col("y.node")))
     need = F.ceil((F.col("x.g") + F.col("y.g")) / unit)
-    pairs = x.join(y, meets & (need <= F.least("x.d", "y.d"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"), F.greatest("x.rest", "y.rest").alias("rest"))
+    # diffs of a family are in one order: before and after a shared difference lie no more others than the shorter side has
+    most = F.least("x.at", "y.at") + F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+    pairs = x.join(y, meets & (need <= most)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"), F.greatest("x.rest", "y.rest").alias("rest"))
     pairs = pairs.groupBy("a", "b", "need", "rest").agg(F.count(F.lit(1)).alias("c")).where("c + rest >= need").select("a", "b", "need")
     pairs = materialise(pairs, "leftovers")
     left, right = (now.select(F.col("node").alias(k), F.col("diff").alias(f"d{k}")) for k in "ab")
