@@ -354,14 +354,54 @@ def _components(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def rarest_first(diffs: DataFrame, over: int = 4, most: int = 1 << 19) -> DataFrame:
+    """``diffs`` (family, diff, ...) with each diff sorted by how many diffs of the family have the token, the rarest first.
+
+    Tokens in at most ``over`` diffs count as equally rare.  At most ``most``
+    counts are shipped (12 MB): beyond it ``over`` doubles.  Any order that a
+    family's diffs have in common gives the same result.
+    """
+    counts = diffs.select("family", F.explode("diff").alias("token")).groupBy("family", "token").agg(F.count(F.lit(1)).alias("m"))
+    counts = materialise(counts.where(F.col("m") > over), "common")
+    while counts.where(F.col("m") > over).count() > most:
+        over *= 2
+    often = counts.where(F.col("m") > over).select("family", "token", "m").toArrow()
+    release(counts)
+    family, token, m = (c.to_numpy() for c in often.columns)
+    order = np.lexsort((token, family))
+    shipped = diffs.sparkSession.sparkContext.broadcast((family[order], token[order], m[order]))
+
+    def run(batches):
+        family, token, m = shipped.value
+        for b in arrow_batches(batches, 1 << 20, "diff"):
+            at = b.schema.get_field_index("diff")
+            own = b.column("family").to_numpy()
+            low, high = np.searchsorted(family, own), np.searchsorted(family, own, "right")
+            done = []
+            for i, x in enumerate(b.column(at)):
+                x = x.values.to_numpy()
+                known = token[low[i] : high[i]]
+                k = np.searchsorted(known, x)
+                hit = k < len(known)
+                hit[hit] = known[k[hit]] == x[hit]
+                rank = np.zeros(len(x), np.int64)
+                rank[hit] = m[low[i] : high[i]][k[hit]]
+                done.append(x[np.lexsort((x, rank))].view(np.uint64))
+            yield b.set_column(at, "diff", _lists(done))
+
+    return diffs.mapInArrow(run, diffs.schema)
+
+
 def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, threshold: Fraction) -> DataFrame:
     """Links (a, b) that, with ``links``, connect all similar classes of each family.
 
     A pair needs g(x) + g(y) shared differences from the core.  Where that is
     none, both are similar to the class of the smallest g, and a star round it
-    joins them.  Other pairs share one of the first d - s + 1 differences, s the
-    fewest that the class must share; only pairs of which one is outside its
-    family's largest component, and of different components, are looked at.
+    joins them.  Other pairs share one of the first d - s + 1 differences, the
+    rarest first, s the fewest that the pair must share; index keys are made for
+    the fewest that the class must share with any.  Only pairs of which one is
+    outside its family's largest component, and of different components, are
+    looked at.
     """
     m = materialise(_components(family.withColumnRenamed("component", "family"), links), "members")
     apart = m.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
@@ -378,14 +418,14 @@ def inside_families(sets: DataFrame, family: DataFrame, links: DataFrame, thresh
     unit = 2 * (threshold.numerator + threshold.denominator)
     now = _spread(now, outside).withColumn("out", F.col("component") != F.col("main"))
     now = materialise(now.select("node", "family", "component", "out", "n", "g", "d", "diff", *[F.greatest(F.lit(1), F.ceil((F.col("g") + F.col(k)) / unit)).alias(s) for k, s in (("least", "s_all"), ("loose", "s_out"))]), "apart")
-    keys = lambda s: now.where(F.col(s) <= F.col("d")).select("node", "family", "component", "out", "g", "d", F.posexplode(F.slice("diff", F.lit(1), (F.col("d") - F.col(s) + 1).cast("int"))).alias("at", "key"), (F.col(s) - 1).alias("rest"))
+    now = materialise(rarest_first(now), "ordered")
+    keys = lambda s: now.where(F.col(s) <= F.col("d")).select("node", "family", "component", "out", "g", "d", F.posexplode(F.slice("diff", F.lit(1), (F.col("d") - F.col(s) + 1).cast("int"))).alias("at", "key"))
     x, y = keys("s_all").where("out").alias("x"), keys("s_out").alias("y")
     meets = (F.col("x.family") == F.col("y.family")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.node") < F.col("y.node")))
     need = F.ceil((F.col("x.g") + F.col("y.g")) / unit)
-    # diffs of a family are in one order: before and after a shared difference lie no more others than the shorter side has
-    most = F.least("x.at", "y.at") + F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
-    pairs = x.join(y, meets & (need <= most)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need"), F.greatest("x.rest", "y.rest").alias("rest"))
-    pairs = pairs.groupBy("a", "b", "need", "rest").agg(F.count(F.lit(1)).alias("c")).where("c + rest >= need").select("a", "b", "need")
+    # diffs of a family are in one order: all that a pair shares lies from the first shared difference on, in both
+    first = need <= F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+    pairs = x.join(y, meets & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), need.alias("need")).distinct()
     pairs = materialise(pairs, "leftovers")
     left, right = (now.select(F.col("node").alias(k), F.col("diff").alias(f"d{k}")) for k in "ab")
     found = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("da", "db")) >= F.col("need")).select("a", "b")

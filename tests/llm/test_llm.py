@@ -162,6 +162,21 @@ def test_ngram_join_of_edited_copies_without_their_original(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_rarest_first(spark):
+    rnd = random.Random(5)
+    rows = [(i, i % 3, rnd.sample(range(-20, 20), rnd.randint(0, 25))) for i in range(60)]
+    often = Counter((f, t) for _, f, diff in rows for t in diff)
+    d = spark.createDataFrame(rows, "node long, family long, diff array<long>")
+    for over, most in ((4, 1 << 19), (0, 1 << 19), (1, 20)):
+        got = {r["node"]: r["diff"] for r in ngram_join.rarest_first(d, over, most).collect()}
+        limit = over
+        while sum(m > limit for m in often.values()) > most:
+            limit = limit * 2
+        rank = lambda f, t: (often[f, t] if often[f, t] > limit else 0, t)  # noqa: B023, E731
+        assert got == {i: sorted(diff, key=lambda t, f=f: rank(f, t)) for i, f, diff in rows}
+    assert ngram_join.rarest_first(d.limit(0)).count() == 0
+
+
 def test_keep_one_with_null_and_clashing_ids(spark):
     text = lambda seed: " ".join(f"{seed}{i}" for i in range(40))
     rows = [(None, text("a")), (None, text("b")), (None, text("a")), (None, ""), (5, text("c")), (5, text("d")), (5, ""), (5, text("c")), (7, text("c") + " end"), (3, text("b") + " end"), (9, None), (9, " ")]
