@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
+from .fingerprints import op12_fingerprints
 from .language_id import op9_language_id
 from .ngram_join import op6_ngram_join
 from .quality import op5_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 ORACLE_SQL = {"op1_secret_scan": OP1_SQL, "op3_topk_search": OP3_SQL}
