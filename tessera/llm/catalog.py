@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .decontaminate import op4_decontaminate
 from .fingerprints import op12_fingerprints
 from .language_id import op9_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_alignment": op11_alignment,
     "op12_fingerprints": op12_fingerprints,
 }
 
