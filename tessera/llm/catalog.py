@@ -5,6 +5,7 @@ from __future__ import annotations
 from .alignment import op11_alignment
 from .decontaminate import op4_decontaminate
 from .fingerprints import op12_fingerprints
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language_id import op9_language_id
 from .ngram_join import op6_ngram_join
 from .quality import op5_quality
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_alignment": op11_alignment,
     "op12_fingerprints": op12_fingerprints,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL = {"op1_secret_scan": OP1_SQL, "op3_topk_search": OP3_SQL}
+ORACLE_SQL = {"op1_secret_scan": OP1_SQL, "op3_topk_search": OP3_SQL, "op13_hard_negatives": OP13_SQL}
