@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--ef", type=int, default=512)
         c.add_argument("--knbn", type=int, default=10)
         c.add_argument("--scale_modify_f", type=float, default=1.0)
-        c.add_argument("--method", choices=("tiles", "sql", "approx"), default="tiles")
+        c.add_argument("--method", choices=("tiles", "sql", "approx", "descent"), default="tiles")
         if name == "embed":
             c.add_argument("--batch", type=int, default=20)
             c.add_argument("--nbsample", type=int, default=10)

@@ -8,6 +8,7 @@ from 1 by distance, ties by ``dst``.
   distance, so that ties are whole; they are measured again by direct
   differences and cut by (dist, dst).  Blocks, not rows, are shuffled.
 * ``sql``: a self-join with column expressions; for small inputs and as a check.
+* ``descent``: neighbours of neighbours, for graphs of many points (``descent.py``).
 * ``approx``: tiles between blocks of points in a bucket of random hyperplanes,
   over several tables; hot buckets are cut into blocks like everything else.
 """
@@ -160,6 +161,10 @@ def knn(points: DataFrame, k: int = 10, metric: str = "l2", method: str = "tiles
     if method == "tiles":
         one = F.lit(0).cast("long").alias("bucket")
         return top_k(_tiles(queries.select("id", "v", one), points.select("id", "v", one), k, metric, rows, spread), k)
+    if method == "descent" and queries is points:
+        from .descent import descent
+
+        return descent(points, k, metric, seed=seed)
     if method != "approx":
         raise ValueError(f"unknown method {method!r}")
     got = _tiles(_buckets(queries, tables, bits, seed), _buckets(points, tables, bits, seed), k, metric, rows, 1)

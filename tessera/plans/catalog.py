@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns, entropy, vectors
-from ..operators import carre, diffusion, dimension, embedding, graph, hubness, knn, levels, linalg, mst, proba, quality
+from ..operators import carre, descent, diffusion, dimension, embedding, graph, hubness, knn, levels, linalg, mst, navigate, proba, quality
 from ..operators.lineage import keep
 from ..params import DiffusionParams, EmbedderParams, Epsil, Rank
 from ..sources import exports
@@ -158,6 +158,39 @@ def knn_approximate(spark, sf_dir):
     return knn.knn(points(spark, sf_dir), K, "l2", "approx")
 
 
+@query()
+def knn_descent(spark, sf_dir):
+    return descent.descent(points(spark, sf_dir), K)
+
+
+@query(with_(E) + f"select count(*) * least({K}, count(*) - 1) nb_edges, true recalled from e")
+def knn_descent_recall(spark, sf_dir):
+    """Whether neighbour descent finds nine tenths of the exact neighbours."""
+    found = keep(knn_descent(spark, sf_dir))
+    recall = knn.recall(edges(spark, sf_dir), found).select((F.col("recall") >= 0.9).alias("recalled"))
+    return found.agg(F.count(F.lit(1)).alias("nb_edges")).join(F.broadcast(recall), how="cross")
+
+
+@query(with_(E) + "select count(*) nb_queries, true rises, true recalled from e where id % 10 = 3")
+def search_recall(spark, sf_dir):
+    """Points that an index of the others does not have are searched in it: whether longer lists find no less, and nine tenths of what there is."""
+    p = points(spark, sf_dir)
+    new, old = p.where("id % 10 = 3"), p.where("id % 10 <> 3")
+    index, exact = navigate.build(old, levels.levels(old, M)), keep(knn.knn(old, K, queries=new))
+    short, long = (keep(knn.recall(exact, navigate.search(index, new, K, ef))).first()["recall"] for ef in (16, 128))
+    return new.agg(F.count(F.lit(1)).alias("nb_queries"), F.lit(short <= long).alias("rises"), F.lit(long >= 0.9).alias("recalled"))
+
+
+@query(with_(E) + "select count(*) nb_points, true recalled from e")
+def projection_search(spark, sf_dir):
+    """Whether nine tenths of the points are projected onto their nearest upper point by a search."""
+    p = points(spark, sf_dir)
+    lv = levels.levels(p, M)
+    found = keep(navigate.project_by_search(p, lv, 1))
+    same = found.join(levels.project(p, lv, 1).select("id", F.col("upper_id").alias("exact")), "id").agg((F.avg((F.col("upper_id") == F.col("exact")).cast("int")) >= 0.9).alias("recalled"))
+    return found.agg(F.count(F.lit(1)).alias("nb_points")).join(F.broadcast(same), how="cross")
+
+
 @query(with_(E, LV, "u as (select e.* from e join lv using (id) where level >= 1)", knn_sql(5, src="u")) + "select src, dst, rank::int as rank, round(dist, 6) dist from k")
 def knn_layer(spark, sf_dir):
     p = points(spark, sf_dir)
