@@ -1,29 +1,43 @@
 """Entropy embedding: coordinates whose distances give the edge probabilities.
 
-Epochs are synchronous.  In each, every partition of the edge table draws edges
-by their weights and takes seeded steps on its own copy of the coordinates; the
-moves of a node are averaged over the partitions that touched it.  Coordinates
-travel as one broadcast while they have at most ``BROADCAST`` numbers; beyond
-that ``epoch_by_joins`` moves them to the edges and back.
+Nodes are dealt into blocks of a fixed number of nodes that are near each other
+at the start (by the order of a curve through the plane of their first two
+coordinates), and coordinates move as one packed row a block.  An epoch is one
+job of three steps, each linear in the number of edges:
+
+* blocks send each other the coordinates that their edges need (their rims);
+* every block draws its edges by their weights, in batches, and moves its own
+  copy of the nodes and of the rim.  Far nodes come from a pool of a fixed size,
+  drawn anew each epoch in proportion to hubness by alias tables, one a block and
+  one over the blocks;
+* moves return to the blocks that own the nodes, and a node takes the mean of its
+  moves, weighted by how often it was drawn where.
+
+Random numbers are seeded by epoch and block, so results do not depend on how
+Spark partitions the work; there is one way of working for every size.  (Only a graph of a single block goes
+through its epochs in one job, with the same result.)
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import data_box
 from ..functions.vectors import cauchy_weight, squared_distance
 from ..params import DiffusionParams, EmbedderParams
+from .alias import alias_table, draw
 from .diffusion import dmap_embed
+from .graph import numbered
 from .hubness import hubness
-from .lineage import keep
+from .lineage import dropped, keep, stored
 from .proba import proba_edges, scales
 
 NEGATIVES = 5
-BROADCAST = 4_000_000
+NODES = 4096
+POOL = 1 << 14
 
 
 def embedded_scales(first: DataFrame) -> DataFrame:
@@ -54,142 +68,313 @@ def _coefficient(d: np.ndarray, scale: np.ndarray, b: float) -> np.ndarray:
     return c if b == 1 else c * np.where(d > 0, d, 1.0) ** (b - 1)
 
 
-def _epoch(y: np.ndarray, src, dst, w, scale, known: np.ndarray, samples: int, step: float, b: float, rng, cumulative) -> None:
-    """Take ``samples`` edge draws on ``y`` in place, in batches with few nodes in common."""
-    n = len(y)
-    total = np.cumsum(w)
-    batch = max(16, n // 8)
+def _scatter(out: np.ndarray, at: np.ndarray, move: np.ndarray) -> None:
+    """Add rows of ``move`` to rows ``at`` of ``out``."""
+    for j in range(out.shape[1]):
+        out[:, j] += np.bincount(at, weights=move[:, j], minlength=len(out))
+
+
+def _steps(y: np.ndarray, own: int, edges: np.ndarray, known: np.ndarray, samples: int, step: float, b: float, rng: np.random.Generator, pool: np.ndarray, far: np.ndarray, first: int) -> np.ndarray:
+    """Take ``samples`` edge draws on ``y`` in place, in batches with few nodes in common; how often each node was drawn.
+
+    ``known`` are the edges as sorted numbers (node of the block, number of the other end).
+
+    ``y`` has the block's ``own`` nodes, the first of which is number ``first``,
+    and its rim.  Far nodes are those of the pool, with numbers ``pool``; they do
+    not move.  Of the block's own nodes the place they have just now counts, of
+    others ``far``, which is where they were when the epoch began.
+    """
+    total = np.cumsum(edges["w"])
+    batch, drawn = max(16, own // 4), np.zeros(len(y), np.int64)
+    at_hand = (pool >= first) & (pool < first + own)
+    place = np.where(at_hand, pool - first, 0)
     for done in range(0, samples, batch):
-        at = np.searchsorted(total, rng.random(min(batch, samples - done)) * total[-1])
-        at = np.minimum(at, len(w) - 1)
-        i, j, s, p = src[at], dst[at], scale[at], w[at]
+        at = np.minimum(np.searchsorted(total, rng.random(min(batch, samples - done)) * total[-1]), len(edges) - 1)
+        e = edges[at]
+        i, j, s, p = e["i"], e["j"], e["a"], e["w"]
         gap = y[j] - y[i]
         d = (gap * gap).sum(1) / (s * s)
         pull = np.maximum(step * _coefficient(d, s, b) * (-p + (1 - p) / np.maximum(d * d, 1e4)), -0.49)
         move = np.where(d > 0, pull, 0.0)[:, None] * gap
-        count = np.bincount(np.r_[i, j], minlength=n)[:, None]
         delta = np.zeros_like(y)
-        np.add.at(delta, i, -move)
-        np.add.at(delta, j, move)
-        for _ in range(NEGATIVES):
-            k = rng.integers(0, n, len(i)) if cumulative is None else np.minimum(np.searchsorted(cumulative, rng.random(len(i)) * cumulative[-1]), n - 1)
-            pair = i * n + k
-            found = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
-            gap = y[k] - y[i]
-            d2 = (gap * gap).sum(1)
-            d = d2 / (s * s)
-            push = np.minimum(step * _coefficient(d, s, b) / np.maximum(d * d, 1 / 16), 2.0)
-            np.add.at(delta, i, -np.where(found | (k == i) | (d2 == 0), 0.0, push)[:, None] * gap)
-        y += delta / np.maximum(count, 1)
-
-
-def optimise(kernel: DataFrame, initial: DataFrame, params: EmbedderParams, hubs: DataFrame | None = None) -> DataFrame:
-    """(id, coords) after ``nb_grad_batch`` epochs with a step that falls to 0."""
-    spark = kernel.sparkSession
-    n, dim = initial.count(), params.asked_dim
+        _scatter(delta, i, -move)
+        _scatter(delta, j, move)
+        k = rng.integers(0, len(pool), NEGATIVES * len(i))
+        near, src, s = np.tile(i, NEGATIVES), np.tile(e["src"], NEGATIVES), np.tile(s, NEGATIVES)
+        gap = np.where(at_hand[k][:, None], y[place[k]], far[k]) - y[near]
+        d2 = (gap * gap).sum(1)
+        d = d2 / (s * s)
+        push = np.minimum(step * _coefficient(d, s, b) / np.maximum(d * d, 1 / 16), 2.0)
+        felt = np.flatnonzero((push > 1e-9) & (d2 > 0) & (pool[k] != src))  # of most far nodes nothing is felt
+        pair = (near[felt].astype(np.int64) << 48) | pool[k[felt]]
+        felt = felt[known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] != pair]
+        _scatter(delta, near[felt], -push[felt][:, None] * gap[felt])
+        count = np.bincount(i, minlength=len(y)) + np.bincount(j, minlength=len(y))
+        y += delta / np.maximum(count, 1)[:, None]
+        drawn += count
+    return drawn
+
+
+#: An edge of a block: its ends among the block's nodes and rim, their numbers among all nodes, its weight and its scale.
+EDGE = np.dtype([("i", np.int32), ("j", np.int32), ("src", np.int64), ("dst", np.int64), ("w", np.float64), ("a", np.float64)])
+
+
+def _curve(coords: DataFrame, dim: int) -> DataFrame:
+    """``coords`` with a column z: the place of the first two coordinates on a curve that keeps neighbours together."""
+    ends = coords.agg(*[f(F.col("coords")[j]).alias(f"{n}{j}") for j in range(min(dim, 2)) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+
+    def spread(j: int) -> Column:
+        """The 16 bits of a coordinate with a gap after each."""
+        x = F.when(F.col(f"hi{j}") > F.col(f"lo{j}"), F.floor((F.col("coords")[j] - F.col(f"lo{j}")) / (F.col(f"hi{j}") - F.col(f"lo{j}")) * 65535)).otherwise(0).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    z = spread(0) if dim < 2 else spread(0).bitwiseOR(F.shiftleft(spread(1), 1))
+    return coords.join(F.broadcast(ends), how="cross").select("id", "coords", z.alias("z"))
+
+
+def _by_block(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("b").sortWithinPartitions("b", *order)
+
+
+def _groups(batches, one):
+    """Calls ``one(b, columns)`` for each run of rows with the same first column, across batches; yields its record batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        b = t.column(0).to_numpy()
+        edge = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist()]
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            yield from one(int(b[lo]), t.slice(lo, hi - lo))
+        held = t.slice(edge[-1])
+    if held is not None:
+        yield from one(int(held.column(0)[0].as_py()), held)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+BLOCK = "b long, o long, data binary"
+PLACE = "b long, y binary, alias binary"
+PIECE = "b long, kind int, o long, data binary, at binary"
+MOVE = "b long, kind int, o long, data binary, at binary, drawn binary"
+
+
+def _packed_nodes(dim: int):
+    """A row a block: its nodes' coordinates, the alias table of their weights, their ids and the sum of the weights."""
+
+    def one(b, t):
+        y = np.array(t.column("coords").to_pylist(), np.float64).reshape(t.num_rows, dim)
+        w = t.column("weight").to_numpy()
+        share, other = alias_table(w)
+        yield _batch([(b, y.tobytes(), share.tobytes() + other.tobytes(), t.column("id").to_numpy().tobytes(), float(w.sum()))], f"{PLACE}, ids binary, total double")
+
+    return lambda batches: _groups(batches, one)
+
+
+def _packed_edges(nodes: int):
+    """Edges of each block (o = -1), and for each other block (o) which of its nodes are in the rim."""
+
+    def one(b, t):
+        e = np.empty(t.num_rows, EDGE)
+        e["src"], e["dst"], e["w"], e["a"] = (t.column(c).to_numpy() for c in ("src", "dst", "w", "a"))
+        e["i"] = e["src"] % nodes
+        inside = e["dst"] // nodes == b
+        rim = np.unique(e["dst"][~inside])
+        e["j"] = np.where(inside, e["dst"] % nodes, nodes + np.searchsorted(rim, e["dst"]))
+        rows = [(b, -1, e.tobytes())]
+        for o in np.unique(rim // nodes).tolist():
+            rows.append((b, o, (rim[rim // nodes == o] % nodes).astype(np.int32).tobytes()))
+        yield _batch(rows, BLOCK)
+
+    return lambda batches: _groups(batches, one)
+
+
+def _pool_draws(seed: int, epoch: int, nodes: int, dim: int, size: int):
+    """This block's part of the pool; which part is told by draws from the table over the blocks, which every block repeats."""
+
+    def run(batches):
+        shards = None
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for b, y, table, bs, totals in zip(*(col[c].to_pylist() for c in ("b", "y", "alias", "bs", "totals")), strict=True):
+                if shards is None:
+                    at = draw(*alias_table(np.array(totals)), size, np.random.default_rng([seed, epoch]))
+                    shards = dict(zip(*np.unique(np.array(bs)[at], return_counts=True), strict=True))
+                got = int(shards.get(b, 0))
+                if got:
+                    n = len(table) // 16
+                    k = draw(np.frombuffer(table, np.float64, n), np.frombuffer(table, np.int64, n, 8 * n), got, np.random.default_rng([seed, epoch, b, 1]))
+                    yield _batch([(b, (b * nodes + k).tobytes(), np.frombuffer(y, np.float64).reshape(-1, dim)[k].tobytes())], "b long, idx binary, y binary")
+
+    return run
+
+
+def _gather(dim: int):
+    """The coordinates that a block's rim has of another block."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(b, 2, o, np.frombuffer(y, np.float64).reshape(-1, dim)[np.frombuffer(at, np.int32)].tobytes(), at) for b, o, at, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if rows:
+                yield _batch(rows, PIECE)
+
+    return run
+
+
+def _move(nodes: int, dim: int, params: EmbedderParams, step: float, epoch: int, per_weight: float):
+    """A block's epoch: its pool, edges, coordinates and rim come in this order; its nodes' moves go out by the blocks that own them."""
+
+    def one(b, t):
+        kind, other, data = t.column("kind").to_numpy(), t.column("o").to_numpy(), t.column("data").to_pylist()
+        edges = [np.frombuffer(d, EDGE) for d, k in zip(data, kind, strict=True) if k == 0]
+        start = np.frombuffer(next(d for d, k in zip(data, kind, strict=True) if k == 1), np.float64).reshape(-1, dim)
+        if not edges:
+            return
+        edges, own = edges[0].copy(), len(start)
+        pool = next(p for p in t.column("pool").to_pylist() if p is not None)
+        idx, far = (np.concatenate([np.frombuffer(p[c], k) for p in pool]) for c, k in (("idx", np.int64), ("y", np.float64)))
+        pieces = [(int(o), np.frombuffer(d, np.float64).reshape(-1, dim), at) for o, d, k, at in zip(other, data, kind, t.column("at").to_pylist(), strict=True) if k == 2]
+        y = np.concatenate([start, *(p for _, p, _ in pieces)])
+        before = y.copy()
+        edges["j"] -= np.where(edges["j"] >= nodes, nodes - own, 0).astype(np.int32)  # the last block has fewer nodes
+        known = np.sort((edges["i"].astype(np.int64) << 48) | edges["dst"])
+        samples = round(per_weight * float(edges["w"].sum()))
+        drawn = _steps(y, own, edges, known, samples, step, params.b, np.random.default_rng([params.seed, epoch, b, 2]), idx, far.reshape(-1, dim), b * nodes)
+        moved, done = y - before, own
+        rows = [(b, 1, b, moved[:own].tobytes(), b"", drawn[:own].tobytes())]
+        for o, p, at in pieces:
+            rows.append((o, 1, b, moved[done : done + len(p)].tobytes(), at, drawn[done : done + len(p)].tobytes()))
+            done += len(p)
+        yield _batch(rows, MOVE)
+
+    return lambda batches: _groups(batches, one)
+
+
+def _apply(dim: int):
+    """A block's coordinates after all moves of its nodes; moves come with the numbers of the nodes, or for all nodes of the block."""
+
+    def one(b, t):
+        kind, data, at, drawn = t.column("kind").to_numpy(), *(t.column(c).to_pylist() for c in ("data", "at", "drawn"))
+        held = int(np.flatnonzero(kind == 0)[0])
+        y = np.frombuffer(data[held], np.float64).reshape(-1, dim).copy()
+        total, count = np.zeros_like(y), np.zeros(len(y), np.int64)
+        for k, d, rows, c in zip(kind, data, at, drawn, strict=True):
+            if k == 1:
+                rows = np.frombuffer(rows, np.int32) if len(rows) else np.arange(len(y))
+                times = np.frombuffer(c, np.int64)
+                total[rows] += np.frombuffer(d, np.float64).reshape(-1, dim) * times[:, None]
+                count[rows] += times
+        y += total / np.maximum(count, 1)[:, None]
+        yield _batch([(b, y.tobytes(), at[held])], PLACE)
+
+    return lambda batches: _groups(batches, one)
+
+
+def _alone(dim: int, params: EmbedderParams, per_weight: float, size: int):
+    """All epochs of a graph of one block, which needs nothing of others between them; the same as one job an epoch."""
+
+    def run(batches):
+        for batch in batches:
+            for raw, table, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                y, edges, n = np.frombuffer(raw, np.float64).reshape(-1, dim).copy(), np.frombuffer(data, EDGE), len(table) // 16
+                share, other = np.frombuffer(table, np.float64, n), np.frombuffer(table, np.int64, n, 8 * n)
+                known = np.sort((edges["i"].astype(np.int64) << 48) | edges["dst"])
+                samples = round(per_weight * float(edges["w"].sum()))
+                for k in range(params.nb_grad_batch):
+                    pool = draw(share, other, size, np.random.default_rng([params.seed, k, 0, 1]))
+                    after = y.copy()
+                    drawn = _steps(after, len(y), edges, known, samples, _step(params, k), params.b, np.random.default_rng([params.seed, k, 0, 2]), pool, y[pool], 0)[:, None]
+                    y += (after - y) * drawn / np.maximum(drawn, 1)
+                yield _batch([(y.tobytes(), ids)], "y binary, ids binary")
+
+    return run
+
+
+def _step(params: EmbedderParams, epoch: int) -> float:
+    return params.grad_step * (1 - (epoch + 1) / params.nb_grad_batch)
+
+
+def _unpacked(dim: int):
+    def run(batches):
+        for batch in batches:
+            for y, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = np.frombuffer(y, np.float64).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(list(c), pa.list_(pa.float64()))], ["id", "coords"])
+
+    return run
+
+
+def optimise(kernel: DataFrame, initial: DataFrame, params: EmbedderParams, hubs: DataFrame | None = None, nodes: int = NODES, pool: int = POOL, one_job: bool = True) -> DataFrame:
+    """(id, coords) after ``nb_grad_batch`` epochs with a step that falls to 0.
+
+    ``nodes`` is the number of nodes of a block, ``pool`` the number of far nodes
+    that an epoch draws; with ``hubs`` (id, hubness) they are drawn in proportion
+    to hubness, held within 1 and the number of nodes.  ``one_job``: whether a
+    graph of a single block may go through its epochs in one job.
+    """
+    dim = params.asked_dim
     low = embedded_scales(scales(kernel))
-    if n * dim > BROADCAST:
-        y = initial
-        for k in range(params.nb_grad_batch):
-            for r in range(params.nb_sampling_by_edge):
-                y = keep(epoch_by_joins(kernel, y, low, params, params.grad_step * (1 - (k + 1) / params.nb_grad_batch), k * params.nb_sampling_by_edge + r, hubs))
-        return y
-    rows = initial.orderBy("id").collect()  # at most BROADCAST numbers
-    ids = np.array([r["id"] for r in rows], np.int64)
-    y = np.array([r["coords"] for r in rows], np.float64).reshape(n, dim)
-    cumulative = None
-    if hubs is not None:
-        weight = {r["id"]: r["hubness"] for r in hubs.collect()}  # one number a node, as above
-        cumulative = np.cumsum([min(max(weight.get(int(i), 1), 1), n) for i in ids]).astype(float)
-    edges = kernel.join(low.select(F.col("id").alias("src"), F.col("scale").alias("a")), "src").select("src", "dst", "w", "a").repartition("src")
-    edges = keep(edges)
-
-    for k in range(params.nb_grad_batch):
-        step = params.grad_step * (1 - (k + 1) / params.nb_grad_batch)
-        held = spark.sparkContext.broadcast((ids, y, cumulative))
-
-        def run(batches, k=k, step=step, held=held):
-            got = [b for b in batches if b.num_rows]
-            if not got:
-                return
-            t = pa.Table.from_batches(got)
-            names, start, weights = held.value
-            col = lambda c: t.column(c).to_numpy()
-            src, dst = np.searchsorted(names, col("src")), np.searchsorted(names, col("dst"))
-            local = start.copy()
-            known = np.sort(src * len(names) + dst)
-            rng = np.random.default_rng([params.seed, k, int(src.min())])
-            _epoch(local, src, dst, col("w"), col("a"), known, params.nb_sampling_by_edge * len(src), step, params.b, rng, weights)
-            moved = np.flatnonzero((local != start).any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array((local - start)[moved].tolist(), pa.list_(pa.float64()))], ["at", "d"])
-
-        deltas = edges.mapInArrow(run, "at long, d array<double>").groupBy("at").agg(*[F.avg(F.col("d")[j]).alias(f"d{j}") for j in range(dim)]).collect()  # a row a node, as above
-        y = y.copy()
-        for r in deltas:
-            y[r["at"]] += [r[f"d{j}"] for j in range(dim)]
-    return spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, y, strict=True)], "id long, coords array<double>")
-
-
-def draw_slots(ids: DataFrame, hubs: DataFrame | None) -> DataFrame:
-    """(idx, neg): dense numbers from 0, of which each node has one, or with ``hubs`` its hubness within 1 and the number of nodes."""
+    # sums differ in their last bits with the order of their parts, and steps would carry that on: what goes in is rounded
+    initial = initial.select("id", F.transform("coords", lambda c: F.round(c, 4)).alias("coords"))
+    placed = keep(numbered(_curve(initial, dim), ["z", "id"], "idx").select("id", "coords", "idx"))
+    n = placed.count()
     if hubs is None:
-        from .graph import node_index
-
-        return node_index(ids).select("idx", F.col("id").alias("neg"))
-    n = ids.count()
-    m = F.least(F.greatest(F.coalesce("hubness", F.lit(1)), F.lit(1)), F.lit(n)).cast("long")
-    part = keep(ids.select("id").join(hubs, "id", "left").select("id", m.alias("m")).repartitionByRange("id").withColumn("p", F.spark_partition_id()))
-    sizes = part.groupBy("p").agg(F.sum("m").alias("m"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.m"), F.lit(0)).alias("base"))
-    end = F.sum("m").over(Window.partitionBy("p").orderBy("id"))
-    local = part.withColumn("end", end).join(F.broadcast(before), "p").withColumn("end", F.col("base") + F.col("end"))  # one row a partition
-    return local.select(F.explode(F.sequence(F.col("end") - F.col("m"), F.col("end") - 1)).alias("idx"), F.col("id").alias("neg"))
-
-
-def epoch_by_joins(kernel: DataFrame, coords: DataFrame, low: DataFrame, params: EmbedderParams, step: float, epoch: int, hubs: DataFrame | None = None) -> DataFrame:
-    """One round of as many edge draws as there are edges, for coordinates of any size; an epoch is ``nb_sampling_by_edge`` of them.
-
-    An edge is drawn by its weight (the mean number of draws, rounded by a hash),
-    far nodes by a hash, in proportion to ``hubs`` if given.  A node makes its
-    moves at once, divided by its draws, as in a batch of ``_epoch``.
-    """
-    dim, b = params.asked_dim, params.b
-    slots = keep(draw_slots(coords, hubs))
-    n = slots.count()
-    index = slots.join(coords.select(F.col("id").alias("neg"), F.col("coords").alias("y")), "neg")
-    x = coords.select(F.col("id").alias("src"), F.col("coords").alias("x")).join(low.select(F.col("id").alias("src"), F.col("scale").alias("a")), "src")
-    mean = F.broadcast(kernel.agg(F.avg("w").alias("mean")))
-    chance = F.pmod(F.xxhash64("src", "dst", F.lit(epoch), F.lit(params.seed), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = kernel.join(mean, how="cross").withColumn("times", F.floor(F.col("w") / F.col("mean") + chance).cast("int")).where("times > 0").drop("mean")
-    e = drawn.join(x, "src").join(coords.select(F.col("id").alias("dst"), F.col("coords").alias("y")), "dst")
-
-    def moves(df, coefficient):
-        d = squared_distance(F.col("x"), F.col("y")) / (F.col("a") * F.col("a"))
-        c = 2 * b / (1 + F.pow(d, F.lit(b))) * (F.pow(d, F.lit(b - 1)) if b != 1 else F.lit(1.0)) / (F.col("a") * F.col("a"))
-        return df.where(d > 0).withColumn("g", coefficient(step * c, d))
-
-    near = moves(e, lambda c, d: F.greatest(c * (-F.col("w") + (1 - F.col("w")) / F.greatest(d * d, F.lit(1e4))), F.lit(-0.49)))
-    draws = e.select("src", "dst", "x", "a", F.explode(F.sequence(F.lit(1), NEGATIVES * F.col("times"))).alias("r")).withColumn("idx", F.pmod(F.xxhash64("src", "dst", "r", F.lit(epoch), F.lit(params.seed)), F.lit(n)))
-    far = draws.join(index, "idx")
-    far = far.join(kernel.select("src", F.col("dst").alias("neg")), ["src", "neg"], "left_anti").where("src <> neg")
-    far = moves(far, lambda c, d: F.least(c / F.greatest(d * d, F.lit(1 / 16)), F.lit(2.0)))
-    push = lambda df, who, sign, times: df.select(F.col(who).alias("id"), *[(sign * F.col("g") * times * (F.col("y")[j] - F.col("x")[j])).alias(f"d{j}") for j in range(dim)])
-    near, once = push(near, "src", -1, F.col("times")).unionByName(push(near, "dst", 1, F.col("times"))), F.lit(1)
-    count = lambda who: drawn.select(F.col(who).alias("id"), F.col("times").alias("c"), *[F.lit(0.0).alias(f"d{j}") for j in range(dim)])
-    all_moves = near.unionByName(push(far, "src", -1, once)).withColumn("c", F.lit(0)).unionByName(count("src")).unionByName(count("dst"))
-    mean = all_moves.groupBy("id").agg(*[(F.sum(f"d{j}") / F.greatest(F.sum("c"), F.lit(1))).alias(f"d{j}") for j in range(dim)])
-    return coords.join(mean, "id", "left").select("id", F.array(*[F.col("coords")[j] + F.coalesce(f"d{j}", F.lit(0.0)) for j in range(dim)]).alias("coords"))
+        weighed = placed.withColumn("weight", F.lit(1.0))
+    else:
+        weight = F.least(F.greatest(F.coalesce("hubness", F.lit(1)), F.lit(1)), F.lit(n)).cast("double")
+        weighed = placed.join(hubs, "id", "left").withColumn("weight", weight)
+    block = F.floor(F.col("idx") / nodes).cast("long")
+    parts = keep(_by_block(weighed.select(block.alias("b"), "idx", "id", "coords", "weight"), "idx").mapInArrow(_packed_nodes(dim), f"{PLACE}, ids binary, total double"))
+    named = lambda c: placed.select(F.col("id").alias(c), F.col("idx").alias(f"{c}_idx"))
+    e = kernel.select("src", "dst", "w").join(low.select(F.col("id").alias("src"), F.col("scale").alias("a")), "src").join(named("src"), "src").join(named("dst"), "dst")
+    e = e.select(F.floor(F.col("src_idx") / nodes).cast("long").alias("b"), F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), F.col("w").cast("float").cast("double").alias("w"), F.col("a").cast("float").cast("double").alias("a"))
+    fixed = keep(_by_block(e, "src", "dst").mapInArrow(_packed_edges(nodes), BLOCK))
+    edges, rims = fixed.where(F.col("o") == -1), fixed.where(F.col("o") >= 0)
+    size, weight = e.agg(F.count(F.lit(1)), F.sum("w")).first()
+    per_weight = params.nb_sampling_by_edge * size / weight if size else 0.0
+    out = "id long, coords array<double>"
+    if n <= nodes and size and one_job:
+        alone = parts.select("b", "y", "alias", "ids").join(edges.select("b", "data"), "b").select("y", "alias", "ids", "data")
+        return keep(alone.mapInArrow(_alone(dim, params, per_weight, pool), "y binary, ids binary").mapInArrow(_unpacked(dim), out))
+    over = keep(parts.agg(F.sort_array(F.collect_list(F.struct("b", "total"))).alias("s")).select(F.col("s.b").alias("bs"), F.col("s.total").alias("totals")))  # one number a block
+    y = parts.select("b", "y", "alias")
+    no_pool, none = F.lit(None).cast("array<struct<b: bigint, idx: binary, y: binary>>"), F.lit(b"")
+    for k in range(params.nb_grad_batch):
+        step = _step(params, k)
+        if not size:
+            break
+        drawn = y.join(F.broadcast(over), how="cross").mapInArrow(_pool_draws(params.seed, k, nodes, dim, pool), "b long, idx binary, y binary")
+        far = F.broadcast(drawn.agg(F.sort_array(F.collect_list(F.struct("b", "idx", "y"))).alias("pool")))  # ``pool`` nodes
+        rim = rims.join(y.select(F.col("b").alias("o"), "y"), "o").select("b", "o", "data", "y").mapInArrow(_gather(dim), PIECE)
+        rows = edges.join(far, how="cross").select("b", F.lit(0).alias("kind"), "o", "data", none.alias("at"), "pool")
+        own = y.select("b", F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("o"), F.col("y").alias("data"), none.alias("at"))
+        rows = rows.unionByName(own.unionByName(rim).withColumn("pool", no_pool))
+        moves = _by_block(rows, "kind", "o").mapInArrow(_move(nodes, dim, params, step, k, per_weight), MOVE)
+        held = y.select("b", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("o"), F.col("y").alias("data"), F.col("alias").alias("at"), none.alias("drawn"))
+        last, y = y, stored(_by_block(held.unionByName(moves), "kind", "o").mapInArrow(_apply(dim), PLACE), "embedding")
+        dropped(last)
+    return keep(y.join(parts.select("b", "ids"), "b").select("y", "ids").mapInArrow(_unpacked(dim), out))
 
 
 def embed(edges: DataFrame, params: EmbedderParams = EmbedderParams()) -> DataFrame:  # noqa: B008
     """(id, coords) of a graph in one step: diffusion-map (or random) start in a box, kernel, epochs."""
     kernel = keep(proba_edges(edges, params.scale_rho, params.beta))
+    return optimise(kernel, initial_embedding(edges, params), params, keep(hubness(edges)) if params.hubness_weighting else None)
+
+
+def initial_embedding(edges: DataFrame, params: EmbedderParams = EmbedderParams()) -> DataFrame:  # noqa: B008
+    """(id, coords) that ``embed`` starts from: the diffusion map, or random points, in a box."""
     if params.dmap_init:
         first = dmap_embed(edges, DiffusionParams(params.asked_dim, alfa=0.5, beta=-0.1, t=5.0, gnbn=12))
-        first = data_box(first, params.asked_dim, 10.0)
-    else:
-        first = random_init(edges.select(F.col("src").alias("id")).distinct(), params.asked_dim, 10.0, params.seed)
-    return optimise(kernel, first, params, keep(hubness(edges)) if params.hubness_weighting else None)
+        return data_box(first, params.asked_dim, 10.0)
+    return random_init(edges.select(F.col("src").alias("id")).distinct(), params.asked_dim, 10.0, params.seed)
 
 
 def hierarchical_embed(small: DataFrame, proj: DataFrame, large: DataFrame, params: EmbedderParams = EmbedderParams()) -> DataFrame:  # noqa: B008
@@ -202,4 +387,4 @@ def hierarchical_embed(small: DataFrame, proj: DataFrame, large: DataFrame, para
     normal = [F.sqrt(-2 * F.log((F.pmod(F.xxhash64("id", F.lit(params.seed), F.lit(2 * j)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1))) * F.cos(2 * np.pi * F.pmod(F.xxhash64("id", F.lit(params.seed), F.lit(2 * j + 1)), F.lit(1 << 30)) / float(1 << 30)) for j in range(dim)]
     jitter = [F.greatest(F.least(spread * z, F.lit(2.0)), F.lit(-2.0)) for z in normal]
     start = near.select("id", F.array(*[F.col("c")[j] + jitter[j] for j in range(dim)]).alias("coords"))
-    return optimise(keep(proba_edges(large, params.scale_rho, params.beta)), start, params)
+    return optimise(keep(proba_edges(large, params.scale_rho, params.beta)), start, params, keep(hubness(large)) if params.hubness_weighting else None)

@@ -82,31 +82,6 @@ def test_spectra_of_whole_vectors(spark, tmp_path):
         assert len(spectrum) == 64 and spectrum == pytest.approx(want, abs=1e-9)
 
 
-def test_epochs_by_joins_draw_by_hubs_and_several_times(spark, cloud, monkeypatch):
-    _, _, e = cloud
-    hubs = hubness.hubness(e).persist()
-    slots = {r["neg"]: r["count"] for r in embedding.draw_slots(graph.nodes(e), hubs).groupBy("neg").count().collect()}
-    assert slots == {r["id"]: min(max(r["hubness"], 1), 120) for r in hubs.collect()}
-    assert sorted(r["idx"] for r in embedding.draw_slots(graph.nodes(e), hubs).collect()) == list(range(sum(slots.values())))
-    k = proba.proba_edges(e).persist()
-    low = embedding.embedded_scales(proba.scales(k)).persist()
-    first = embedding.random_init(graph.nodes(e), 2, 10.0, 5).persist()
-    params = EmbedderParams(nb_grad_batch=2, nb_sampling_by_edge=3)
-    rounds, real = [], embedding.epoch_by_joins
-
-    def counted(*args):
-        rounds.append(args)
-        return real(*args)
-
-    ce = lambda c: embedding.cross_entropy(k, c, low).first()[0]
-    by_broadcast = ce(embedding.optimise(k, first, params, hubs))
-    monkeypatch.setattr(embedding, "BROADCAST", 0)
-    monkeypatch.setattr(embedding, "epoch_by_joins", counted)
-    by_joins = ce(embedding.optimise(k, first, params, hubs))
-    assert len(rounds) == 6 and all(r[-1] is hubs for r in rounds)
-    assert by_joins < ce(first) and by_broadcast < ce(first)
-
-
 def test_embeddings_are_registered_with_default_parameters(monkeypatch):
     from tessera.plans import catalog
 
@@ -221,7 +196,6 @@ def test_embedding_draws_neighbours_together(spark, cloud):
     assert spread(done) < 0.7 * spread(first)
     assert done.orderBy("id").collect() == embedding.optimise(k, first, params).orderBy("id").collect()
     assert embedding.cross_entropy(k, done, low).first()[0] > 0
-    assert embedding.epoch_by_joins(k, first, low, params, 1.0, 0).count() == 120
 
 
 def test_levels_and_projection(cloud):
