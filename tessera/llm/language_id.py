@@ -11,7 +11,8 @@ Definitions:
 
 * Text is lower-cased; every run of characters that are not letters is one
   space; the parse runs in blocks of ``block`` characters over the whole text
-  (a phrase ends with its block), which bounds the number of lockstep steps.
+  (a phrase ends with its block), which bounds the number of lockstep steps.  A
+  letter that an automaton does not know is a phrase of its own.
 * Null text, or text without a letter: ``und`` with score 0.
 * Ties: the language first in name order.
 * Training takes rows with text and language, of the learning folds only, and
@@ -167,11 +168,10 @@ class Model:
             now = state[:, :k]
             go = self.step(now, c)
             failed = go == 0
-            count[:, :k] += failed
+            count[:, :k] += failed | (now == roots)  # phrases are counted where they begin; after an unknown letter that is the root
             again = self.step(roots, c)
             again = np.where(again == 0, roots, again)
             state[:, :k] = np.where(failed, again, go)
-        count += 1  # the phrase at the end of each block
         for row in range(len(self.langs)):
             out[row] = np.bincount(owner, weights=count[row], minlength=len(texts)).astype(np.int64)
         return out
@@ -230,9 +230,11 @@ def identify(docs: DataFrame, model: Model, block: int = 2048, sharpness: float
 
 
 def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The rows and columns of ``docs`` whose text has a letter; where lang is null it becomes the predicted language.
+    """The rows and columns of ``docs`` whose language can be told (whose text has a letter), with the identified language as lang.
 
-    With a model that has learned no language, lang stays as it is.
+    Every text is identified, whatever lang says; a stated language that is not
+    the identified one is replaced.  With a model that has learned no language,
+    and without a column lang of strings, languages stay as they are.
     """
     at = docs.columns.index("text")
     lang = next((i for i, f in enumerate(docs.schema) if f.name == "lang" and f.dataType.simpleString() == "string"), None)
@@ -242,15 +244,12 @@ def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_byte
         m = shipped.value
         for b in arrow_batches(batches, batch_bytes):
             texts = [normalise(t) if t else np.zeros(0, np.uint32) for t in b.column(at).to_pylist()]
-            told = pa.array([len(t) > 0 for t in texts], pa.bool_())
-            if m.langs and lang is not None and b.column(lang).null_count:
-                asked = np.flatnonzero(b.column(lang).is_null().to_numpy(zero_copy_only=False))
-                best = m.phrases([texts[i] for i in asked], block).argmin(axis=0)
-                said = b.column(lang).to_pylist()
-                for i, k in zip(asked.tolist(), best.tolist(), strict=True):
-                    said[i] = m.langs[k]
-                b = b.set_column(lang, b.schema.field(lang), pa.array(said, b.schema.field(lang).type))
-            yield b.filter(told)
+            told = np.array([len(t) > 0 for t in texts], bool)
+            if m.langs and lang is not None and told.any():
+                best = m.phrases(texts, block).argmin(axis=0)
+                said = pa.array([m.langs[k] for k in best.tolist()], b.schema.field(lang).type)
+                b = b.set_column(lang, b.schema.field(lang), said)
+            yield b.filter(pa.array(told))
 
     return docs.mapInArrow(run, docs.schema)
 

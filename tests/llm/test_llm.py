@@ -341,9 +341,38 @@ def test_language(spark):
     m = language_id.train(d)
     got = {r["doc_id"]: r for r in language_id.identify(docs_of(spark, [en, fr, None, "123 !", en * 400]), m).collect()}
     assert [got[i]["lang_pred"] for i in range(5)] == ["en", "fr", "und", "und", "en"] and got[2]["score"] == 0
-    asked = docs_of(spark, [en, None, "12", fr]).withColumn("lang", F.when(F.col("doc_id") == 0, "en"))
-    assert [(r["doc_id"], r["lang"]) for r in language_id.keep_identified(asked, m).orderBy("doc_id").collect()] == [(0, "en"), (3, "fr")]
-    assert [(r["doc_id"], r["lang"]) for r in language_id.keep_identified(asked, language_id.train(d.where("false"))).orderBy("doc_id").collect()] == [(0, "en"), (3, None)]
+    # stated languages: right, of a text without letters, none, and wrong
+    asked = docs_of(spark, [en, None, "12", fr, fr * 30, en * 30]).withColumn("lang", F.expr("case doc_id when 0 then 'en' when 2 then 'en' when 4 then 'en' when 5 then 'xx' end"))
+    assert [(r["doc_id"], r["lang"]) for r in language_id.keep_identified(asked, m).orderBy("doc_id").collect()] == [(0, "en"), (3, "fr"), (4, "fr"), (5, "en")]
+    assert [(r["doc_id"], r["lang"]) for r in language_id.keep_identified(asked, language_id.train(d.where("false"))).orderBy("doc_id").collect()] == [(0, "en"), (3, None), (4, "en"), (5, "xx")]
+
+
+def naive_phrases(known, text, block):
+    """Longest matches of ``text`` in ``known`` from left to right, block by block; a letter that is not there is a phrase."""
+    n = 0
+    for lo in range(0, len(text), block):
+        part, at = text[lo : lo + block], 0
+        while at < len(part):
+            length = 1
+            while at + length < len(part) and part[at : at + length + 1] in known:
+                length += 1
+            n, at = n + 1, at + length
+    return n
+
+
+def test_phrases_against_longest_matches():
+    rnd = random.Random(21)
+    letters = {"a": "abcde", "b": "cdefg", "c": "αβγab"}
+    text = lambda alphabet, n: "".join(rnd.choice(alphabet + " ") for _ in range(n)).strip() or "a"
+    taught = {lang: [text(x, 150)] for lang, x in letters.items()}
+    model = language_id.Model(taught, 10_000)
+    texts = [text(rnd.choice(["abcde", "abcdefgαβγ", "xyzab", "xyz", "ж"]), rnd.randint(1, 60)) for _ in range(150)]
+    learned = {lang: "".join(map(chr, language_id.normalise(t).tolist())) + " " for lang, (t,) in taught.items()}
+    norm = [language_id.normalise(t) for t in texts]
+    for block in (7, 2048):
+        got = model.phrases(norm, block)
+        for row, lang in enumerate(model.langs):
+            assert got[row].tolist() == [naive_phrases(learned[lang], "".join(map(chr, t.tolist())), block) for t in norm]
 
 
 def test_automaton_knows_all_substrings():
