@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,8 +133,20 @@ def bucket(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system, as workers are kept for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library cannot be asked, memory stays with the worker
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_batches(batches, limit: int, column: str = "text"):
-    """Split Arrow batches so that ``column`` holds at most about ``limit`` bytes in each piece."""
+    """Split Arrow batches so that ``column`` holds at most about ``limit`` bytes in each piece; memory is given back when they end."""
+    yield from _pieces(batches, limit, column)
+    give_back()
+
+
+def _pieces(batches, limit: int, column: str):
     for batch in batches:
         n = batch.num_rows
         size = batch.column(batch.schema.names.index(column)).nbytes

@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: Model, block: int = 2048, sharpness: float
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, lang_pred string, score double, n_phrases long, n_letters long")
 
 
-def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_bytes: int = 4 << 20) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, block: int = 2048, batch_bytes: int = 2 << 20) -> DataFrame:
     """The rows and columns of ``docs`` whose language can be told (whose text has a letter), with the identified language as lang.
 
     Every text is identified, whatever lang says; a stated language that is not
