@@ -628,6 +628,11 @@ def single_linkage_labels(spark, sf_dir):
     return mst.single_linkage(edges(spark, sf_dir), 10)
 
 
+@query()
+def merge_tree(spark, sf_dir):
+    return mst.merge_tree(edges(spark, sf_dir))
+
+
 @query()
 def h0_barcode(spark, sf_dir):
     return mst.h0_barcode(edges(spark, sf_dir))
