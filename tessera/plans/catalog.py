@@ -6,7 +6,6 @@ Floating-point results are rounded on both sides, as the order of sums differs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -684,14 +683,7 @@ def continuity_grid(spark, sf_dir):
 select e.id, l.label, dense_rank() over (order by l.label) color, round(greatest(least(v[1], mx + sx), mx - sx), 6) x, round(greatest(least(v[2], my + sy), my - sy), 6) y from e join embeddings l on l.vec_id = e.id, m""")
 def label_plot(spark, sf_dir):
     p = _plot(spark, sf_dir).join(labels(spark, sf_dir), "id")
-    return exports.label_plot(p.withColumn("label", F.struct("label", "id")), 1.0).select("label.id", "label.label", r6("x").alias("x"), r6("y").alias("y")).join(labels(spark, sf_dir).select("label").distinct().select("label", F.dense_rank().over(_by_label()).alias("color")), "label").select("id", "label", "color", "x", "y")
-
-
-@cache
-def _by_label():
-    from pyspark.sql import Window
-
-    return Window.orderBy("label")
+    return exports.label_plot(p, 1.0).select("id", "label", "color", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query("select round(corr(l_quantity, l_extendedprice), 6) r from lineitem")

@@ -77,16 +77,17 @@ def lower_to_full(values: DataFrame) -> DataFrame:
 
 
 def label_plot(df: DataFrame, sigma: float | None = None) -> DataFrame:
-    """(label, color, x, y): labels numbered from 1 in order; coordinates held within ``sigma`` deviations of the mean."""
+    """(label, color, x, y) and further columns: labels numbered from 1 in order; coordinates held within ``sigma`` deviations of the mean."""
     from pyspark.sql import Window
 
     colors = df.select("label").distinct().withColumn("color", F.row_number().over(Window.orderBy("label")))
     out = df.join(F.broadcast(colors), "label")  # as many rows as labels
+    first = [*[c for c in df.columns if c not in ("label", "x", "y")], "label", "color"]
     if sigma is None:
-        return out.select("label", "color", "x", "y")
+        return out.select(*first, "x", "y")
     s = df.agg(*[f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     held = lambda c: F.greatest(F.least(F.col(c), F.col(f"m{c}") + sigma * F.col(f"s{c}")), F.col(f"m{c}") - sigma * F.col(f"s{c}"))
-    return out.join(F.broadcast(s), how="cross").select("label", "color", held("x").alias("x"), held("y").alias("y"))
+    return out.join(F.broadcast(s), how="cross").select(*first, held("x").alias("x"), held("y").alias("y"))
 
 
 def _cells(df: DataFrame, n: int) -> DataFrame:
