@@ -8,10 +8,12 @@ radius agree, up to ``radius // blocks`` bits, in at least one block, so each
 block is looked up in a table that holds every item's block with that many bits
 flipped.
 
-The radius is too tight for some edited items, so that candidates also come from
-an index of shingles, which misses none: a stretch that is similar enough lacks
-less than a certain weight of the item's shingles, so it has one of any that
-weigh that much together; the rarest of each item are indexed.
+Windows as long as an item miss it where edits are spread over it, so each item
+also has short windows, of a length that its own length and the threshold give
+(``Items.run``): a stretch that is similar enough has an unchanged run of the
+item's words of at least that length, so the fingerprint of a window inside the
+run is equal to one of the item's.  These are looked up at radius 0, and with
+them no stretch that is similar enough is missed.
 
 Candidates are verified exactly, for all stretches of the document at once: the
 weighted Jaccard similarity of the multisets of five-word shingles of the item
@@ -161,9 +163,16 @@ def fingerprints(sums: np.ndarray, window: int, step: int, width: int) -> np.nda
     return out
 
 
-#: Bits of a hash by which most shingles that no item has are told.
+#: Bits of a fingerprint's hash by which most windows that no item has are told.
 SIEVE = 22
 
+#: Short windows have at most as many words, so that counters of 8 bits hold them.
+MOST_PART = 100
+
+
+def _address(fp: np.ndarray) -> np.ndarray:
+    return mix(fp) >> np.uint64(64 - SIEVE)
+
 #: Steps divide this; documents are laid out at multiples of it, so that windows do not depend on the neighbours.
 GRID = 12
 
@@ -198,46 +207,57 @@ class Items:
                 offset.append(at)
             fp, owner, offset = map(np.concatenate, (fps, owner, offset))
             self.classes.append({"window": window, "step": step, "width": width, "fp": fp, "owner": owner, "offset": offset, "index": self._index(fp)})
-        self.rare = self._rare()
+        self.parts = self._parts()
 
     def least(self, item: int) -> int:
         """Shingles that a stretch shares with an item at least, if it is similar enough."""
         return int(np.ceil(self.threshold * int(self.grams[item][1].sum()) - 1e-9))
 
-    def _rare(self) -> dict:
-        """For each size of shingles: those of which every similar stretch has one, the items of each, and a sieve."""
-        out = {}
-        for size in sorted({min(len(w), SHINGLE) for w in self.words if len(w)}):
-            members = [i for i, w in enumerate(self.words) if min(len(w), SHINGLE) == size]
-            names, seen = np.unique(np.concatenate([self.grams[i][0] for i in members]), return_counts=True)
-            key, owner = [], []
-            for i in members:
-                own, weight = self.grams[i]
-                order = np.lexsort((own, seen[np.searchsorted(names, own)]))
-                more = int(weight.sum()) - self.least(i) + 1  # who lacks all of these shares too few
-                order = order[: int(np.searchsorted(np.cumsum(weight[order]), more)) + 1]
-                key.append(own[order])
-                owner.append(np.full(len(order), i))
-            key, owner = np.concatenate(key), np.concatenate(owner)
-            order = np.argsort(key, kind="stable")
-            keys, first = np.unique(key[order], return_index=True)
+    def run(self, item: int) -> int:
+        """Words of the item that stand together, unchanged, in any stretch that is similar enough.
+
+        A stretch has no more shingles than the item, and at most ``lost`` of
+        them are not the item's, so those that are form at most ``lost + 1``
+        runs.  Shingles that follow each other in a run overlap by all words but
+        one, and so follow each other in the item too, unless it repeats such an
+        overlap; then only a single shingle is certain.
+        """
+        words, size = self.words[item], min(len(self.words[item]), SHINGLE)
+        least = self.least(item)
+        lost = int(self.grams[item][1].sum()) - least
+        overlaps = runs(words, size - 1) if size > 1 else words
+        if len(np.unique(overlaps)) < len(overlaps):
+            return size
+        return size - 1 + -(-least // (lost + 1))
+
+    def _parts(self) -> list[dict]:
+        """For each pair of a short window's length and step: the sorted fingerprints of the items' windows, the item of each, and a sieve."""
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, w in enumerate(self.words):
+            if len(w):
+                size, run = min(len(w), SHINGLE), self.run(i)
+                step = min(3, run - size + 1)
+                groups.setdefault((min(run - step + 1, MOST_PART), step), []).append(i)
+        out = []
+        for (window, step), members in sorted(groups.items()):
+            fps = [fingerprints(running(self.words[i], 8), window, 1, 8) for i in members]
+            fp, owner = np.concatenate(fps), np.repeat(members, [len(f) for f in fps])
+            order = np.lexsort((owner, fp))
+            keys, first = np.unique(fp[order], return_index=True)
             sieve = np.zeros(1 << SIEVE, bool)
-            sieve[keys >> np.uint64(64 - SIEVE)] = True
-            out[size] = (keys, np.r_[first, len(key)], owner[order], sieve)
+            sieve[_address(keys)] = True
+            out.append({"window": window, "step": step, "keys": keys, "first": np.r_[first, len(fp)], "owner": owner[order], "sieve": sieve})
         return out
 
-    def sharing(self, hashes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-        """Pairs (document, item) as document * items + item, of which the document has a rare shingle of the item."""
-        keys, first, owner, sieve = self.rare[size]
-        at = np.flatnonzero(sieve[hashes >> np.uint64(64 - SIEVE)])
-        k = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-        doc = np.searchsorted(ends, at, "right")
-        ok = (keys[k] == hashes[at]) & (at + size <= ends[doc])
-        pair = np.unique(doc[ok] * len(keys) + k[ok])
-        doc, k = pair // len(keys), pair % len(keys)
+    def equal(self, part: dict, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs whose short windows have the same fingerprint."""
+        keys, first = part["keys"], part["first"]
+        at = np.flatnonzero(part["sieve"][_address(fp)])
+        k = np.minimum(np.searchsorted(keys, fp[at]), len(keys) - 1)
+        ok = keys[k] == fp[at]
+        at, k = at[ok], k[ok]
         many = first[k + 1] - first[k]
-        item = owner[np.repeat(first[k] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        return np.unique(np.repeat(doc, many) * len(self.words) + item)
+        return np.repeat(at, many), part["owner"][np.repeat(first[k] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
 
     def best(self, grams: np.ndarray, item: int) -> tuple[float, int, int] | None:
         """Similarity, first word and end of the stretch of a document that is most like an item, if it reaches the threshold.
@@ -304,8 +324,8 @@ class Items:
         begins = np.cumsum(-(-n // GRID) * GRID) - (-(-n // GRID) * GRID)
         laid = np.zeros(int((-(-n // GRID) * GRID).sum()), np.uint64)
         laid[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(len(words))] = words
-        pairs: dict[int, list] = {size: [] for size in self.rare}
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {8: running(laid, 8)}
+        some = [np.zeros(0, np.int64)]
         for c in self.classes:
             if c["width"] not in sums:
                 sums[c["width"]] = running(laid, c["width"])
@@ -314,12 +334,16 @@ class Items:
             item = c["owner"][f]
             at = np.maximum(w * c["step"] - c["offset"][f], 0)
             doc = np.searchsorted(begins, at + self.lengths[item] // 2, "right") - 1
-            for size in pairs:
-                pairs[size].append((doc * len(self.words) + item)[np.minimum(self.lengths[item], SHINGLE) == size])
-        ends, found = np.cumsum(n), []
-        for size, got in pairs.items():
+            some.append(np.unique(doc * len(self.words) + item))
+        for p in self.parts:
+            w, item = self.equal(p, fingerprints(sums[8], p["window"], p["step"], 8))
+            doc = np.searchsorted(begins, w * p["step"], "right") - 1
+            some.append(np.unique(doc * len(self.words) + item))
+        pairs, ends, found = np.unique(np.concatenate(some)), np.cumsum(n), []
+        sizes = np.minimum(self.lengths[pairs % len(self.words)], SHINGLE)
+        for size in np.unique(sizes).tolist():
             hashes = runs(words, size)
-            for pair in np.unique(np.concatenate([*got, self.sharing(hashes, ends, size)])).tolist():
+            for pair in pairs[sizes == size].tolist():
                 doc, item = divmod(pair, len(self.words))
                 best = self.best(hashes[ends[doc] - n[doc] : max(ends[doc] - size + 1, ends[doc] - n[doc])], item)
                 if best:
