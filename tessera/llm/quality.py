@@ -2,18 +2,30 @@
 
 One classifier sees the text (hashed pairs of bytes, kinds of characters, how
 much repeats), the other the page's metadata (source, language, size).  Both
-start from the labelled documents; in each round each labels the unlabelled
-documents it is surest of, for the other to learn from.  The finished views are
-calibrated, and combined, on labelled documents that neither learned from.
+start from the labelled documents.  In each round each view labels, of all
+unlabelled documents, those it is surest of, for the other to learn from.
+
+What a view says is trusted as far as the labelled documents bear it out: by
+cross-validation on them each view gets the value above (below) which it was
+right often enough, and gives labels beyond it only, so a view that knows
+nothing gives none.  What a view has learned from the other in a round is kept
+only if its cross-validated loss falls by it; rounds end when neither view keeps
+anything.  The finished views are calibrated on cross-validated values of the
+labelled documents, and combined where that lowers the loss by more than its
+error, else the better view scores alone.
 
 Definitions:
 
-* Learning takes at most ``most_labelled`` labelled and ``most_unlabelled``
-  unlabelled documents, those with the smallest hashes; all documents are scored.
-* Null text counts as empty; null metadata is a value of its own.
+* Learning takes at most ``most_labelled`` labelled documents, those with the
+  smallest hashes, and all unlabelled ones, of which a round moves ``each`` a
+  view and class at most; equal texts count once.  All documents are scored.
+* Null text counts as empty; null metadata is a value of its own.  Texts of any
+  length are taken whole.
+* Documents with equal values are taken by id and hash.  Rows without a doc_id
+  are scored, not learned from.
 * Labels that contradict each other count as the lower quality.  Without both
-  classes among the labels every score is 0.5.
-* Each row of the input gives a row.
+  classes among the labels (as from an empty table) every score is 0.5.
+* Each row of the input gives a row; further columns are passed over.
 """
 
 from __future__ import annotations
@@ -26,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_batches, bucket, table
+from .common import arrow_batches, bucket, materialise, release, table
 
 PAIRS = 1024
 KINDS = np.zeros(256, np.int64)
@@ -105,64 +117,149 @@ class Model:
         n = len(xs[0])
         if self.views is None:
             return (np.full(n, 0.5),) * 3
-        sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
         logits = [_value(_value(x, w)[:, None], c) for x, w, c in zip(xs, self.views, self.calibrations, strict=True)]
-        return sig(logits[0]), sig(logits[1]), sig(_value(np.stack(logits, 1), self.combined))
+        return _sigmoid(logits[0]), _sigmoid(logits[1]), _sigmoid(_value(np.stack(logits, 1), self.combined))
 
 
-def fit(xs: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, each: int = 150) -> Model:
-    """Co-train on the labelled rows ``xs`` (one matrix a view) and the unlabelled ``pool``."""
-    if len(y) < 10 or len(set(y.tolist())) < 2:
+FOLDS = 4
+
+
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+
+
+def _losses(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return -np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-6, 1))
+
+
+class Learner:
+    """One view: labelled rows, what the other view gave, and what cross-validation says of it."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, given=None):
+        self.x, self.y, self.fold = x, y.astype(float), fold
+        self.given = given if given is not None else (np.zeros((0, x.shape[1]), np.float32), np.zeros(0))
+        self.weights = self._fit(np.ones(len(y), bool))
+        self.values = np.zeros(len(y))  # of each labelled row, by a machine that did not learn from its label
+        for k in range(FOLDS):
+            self.values[fold == k] = _value(x[fold == k], self._fit(fold != k))
+        self.calibration = _logistic(self.values[:, None], self.y, np.ones(len(y)), 1e-4)
+        self.losses = _losses(_sigmoid(_value(self.values[:, None], self.calibration)), y)
+
+    def _fit(self, rows: np.ndarray) -> np.ndarray:
+        gx, gy = self.given
+        return _logistic(np.vstack([self.x[rows], gx]), np.r_[self.y[rows], gy], np.r_[np.ones(int(rows.sum())), np.full(len(gy), 0.3)])
+
+    def with_more(self, x: np.ndarray, y: np.ndarray) -> Learner:
+        return Learner(self.x, self.y, self.fold, (np.vstack([self.given[0], x]), np.r_[self.given[1], y]))
+
+    def trusted(self, right: float) -> tuple[float, float]:
+        """(low, high): values beyond which the lower bound (95 %) of the share of right labels is at least ``right``."""
+        out = []
+        for sign, truth in ((-1, 1 - self.y), (1, self.y)):
+            order = np.argsort(-sign * self.values, kind="stable")
+            n = np.arange(1, len(order) + 1)
+            p, z = np.cumsum(truth[order]) / n, 1.645
+            bound = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)  # Wilson's
+            good = np.flatnonzero(bound >= right)
+            out.append(float(self.values[order[good[-1]]]) if len(good) else sign * np.inf)
+        return out[0], out[1]
+
+
+def fit(xs: list[np.ndarray], y: np.ndarray, surest, rounds: int = 3, right: float = 0.8) -> Model:
+    """Co-train on the labelled rows ``xs`` (one matrix a view).
+
+    ``surest(weights, bounds)`` gives for each view the matrices of both views
+    and the labels of the unlabelled rows it is surest of, beyond its bounds.
+    """
+    if len(y) < 10 or min(np.bincount(y, minlength=2)) < 2:
         return Model()
-    held = np.arange(len(y)) % 4 == 0
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    own = [(x[~held], y[~held].astype(float), np.ones((~held).sum())) for x in xs]
-    free = np.ones(len(pool[0]), bool)
-    share = y.mean()
-    views = [_logistic(*o) for o in own]
+    fold = np.zeros(len(y), np.int64)
+    for c in (0, 1):  # both classes in every fold, as far as they go
+        at = np.flatnonzero(y == c)
+        fold[at] = np.arange(len(at)) % FOLDS
+    views = [Learner(x, y, fold) for x in xs]
     for _ in range(rounds):
-        given = []
-        for view in (0, 1):
-            at = np.flatnonzero(free)
-            v = _value(pool[view][at], views[view])
-            order = at[np.argsort(v, kind="stable")]
-            low, high = order[: round(each * (1 - share))], order[max(0, len(order) - round(each * share)) :]
-            given.append((np.r_[low, high], np.r_[np.zeros(len(low)), np.ones(len(high))]))
-        for view in (0, 1):
-            rows, labels = given[1 - view]
-            x, t, w = own[view]
-            own[view] = (np.vstack([x, pool[view][rows]]), np.r_[t, labels], np.r_[w, np.full(len(rows), 0.3)])
-        for rows, _labels in given:
-            free[rows] = False
-        views = [_logistic(*o) for o in own]
-    check = held if held.any() else np.ones(len(y), bool)
-    values = [_value(x[check], w)[:, None] for x, w in zip(xs, views, strict=True)]
-    ones = np.ones(check.sum())
-    calibrations = [_logistic(v, y[check].astype(float), ones, 1e-4) for v in values]
-    logits = np.stack([_value(v, c) for v, c in zip(values, calibrations, strict=True)], 1)
-    return Model(views, calibrations, _logistic(logits, y[check].astype(float), ones, 1e-3))
+        bounds = [v.trusted(right) for v in views]
+        if not np.isfinite(bounds).any():
+            break
+        given, kept = surest([v.weights for v in views], bounds), False
+        more = [views[k].with_more(given[1 - k][0][k], given[1 - k][1]) if len(given[1 - k][1]) else views[k] for k in (0, 1)]
+        for k in (0, 1):
+            if more[k].losses.mean() < views[k].losses.mean() - 1e-4:
+                views[k], kept = more[k], True
+        if not kept:
+            break
+    logits = np.stack([_value(v.values[:, None], v.calibration) for v in views], 1)
+    best = int(np.argmin([v.losses.mean() for v in views]))
+    alone = np.zeros(3)
+    alone[best] = 1.0
+    crossed = np.zeros(len(y))
+    for k in range(FOLDS):
+        out = fold == k
+        crossed[out] = _value(logits[out], _logistic(logits[~out], y[~out].astype(float), np.ones(int((~out).sum())), 1e-3))
+    gain = views[best].losses - _losses(_sigmoid(crossed), y)
+    better = gain.mean() > gain.std() / np.sqrt(len(y))
+    combined = _logistic(logits, y.astype(float), np.ones(len(y)), 1e-3) if better else alone
+    return Model([v.weights for v in views], [v.calibration for v in views], combined)
 
 
 COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_unlabelled: int = 3000) -> Model:
-    """Fit on documents (COLUMNS) and labels (doc_id, quality)."""
+SURE = "view int, label int, sure double, doc_id {}, th long"
+
+
+def surest_rows(docs: DataFrame, weights: list[np.ndarray], bounds: list[tuple[float, float]], each: int, batch_bytes: int = 4 << 20) -> DataFrame:
+    """(view, label, sure, doc_id, th): of each batch of ``docs`` (COLUMNS, th) the ``each`` surest rows a view and label, beyond the view's bounds."""
+    shipped = docs.sparkSession.sparkContext.broadcast((weights, bounds))  # a fixed number of weights
+
+    def run(batches):
+        weights, bounds = shipped.value
+        for b in arrow_batches(batches, batch_bytes):
+            cols = [b.column(i).to_pylist() for i in range(5)]
+            xs = [text_features(cols[1]), meta_features(*cols[2:])]
+            for view in (0, 1):
+                v = _value(xs[view], weights[view])
+                for label, sure, least in ((0, -v, -bounds[view][0]), (1, v, bounds[view][1])):
+                    at = np.flatnonzero(sure >= least)
+                    at = at[np.argsort(-sure[at], kind="stable")[:each]]
+                    if len(at):
+                        rows = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)) for c in (view, label)] + [pa.array(sure[at]), b.column(0).take(rows), b.column(5).take(rows)], ["view", "label", "sure", "doc_id", "th"])
+
+    return docs.select(*COLUMNS, "th").mapInArrow(run, SURE.format(docs.schema["doc_id"].dataType.simpleString()))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, rounds: int = 3, each: int = 150) -> Model:
+    """Fit on documents (COLUMNS) and labels (doc_id, quality); a round is one pass over the unlabelled documents."""
     h = F.xxhash64("doc_id")
     one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = one.orderBy(h, "doc_id").limit(most_labelled)
-    rest = docs.select("doc_id").where("doc_id is not null").distinct().join(one, "doc_id", "left_anti").orderBy(h, "doc_id").limit(most_unlabelled)
-    ids = known.unionByName(rest.withColumn("quality", F.lit(None).cast(one.schema["quality"].dataType)))
-    rows = docs.select(*COLUMNS).join(F.broadcast(ids), "doc_id").orderBy(h, "doc_id", "text").limit(most_labelled + most_unlabelled).collect()  # ids: bounded by the two limits
+    rows = docs.select(*COLUMNS).join(F.broadcast(known), "doc_id").orderBy(h, "doc_id", "text").limit(most_labelled).collect()  # known: bounded by the limit
+    free = docs.select(*COLUMNS, F.xxhash64("text").alias("th")).where("doc_id is not null").join(one.select("doc_id"), "doc_id", "left_anti")
+    taken: set = set()
 
     def views(got):  # few texts at a time, so that the driver never holds the features' intermediates of all
         parts = [text_features([r["text"] for r in got[k : k + 100]]) for k in range(0, len(got), 100)]
         text = np.concatenate([np.zeros((0, PAIRS + 11), np.float32), *parts])
         return [text, meta_features(*[[r[c] for r in got] for c in COLUMNS[2:]])]
 
-    known_rows, free = [r for r in rows if r["quality"] is not None], [r for r in rows if r["quality"] is None]
-    return fit(views(known_rows), np.array([r["quality"] for r in known_rows]), views(free))
+    def surest(weights, bounds):
+        most = each + len(taken)  # what earlier rounds took may come again
+        found = materialise(surest_rows(free, weights, bounds, most).groupBy("view", "label", "th").agg(F.max(F.struct("sure", -F.xxhash64("doc_id"), "doc_id")).alias("m")).select("view", "label", "th", "m.sure", "m.doc_id"), "surest")
+        got = {(v, c): [r for r in found.where((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), h, "doc_id", "th").limit(most).collect() if (r["doc_id"], r["th"]) not in taken][:each] for v in (0, 1) for c in (0, 1)}
+        keys = sorted({(r["doc_id"], r["th"]) for rows in got.values() for r in rows})
+        taken.update(keys)
+        ids = docs.sparkSession.createDataFrame(keys, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long")
+        text = {(r["doc_id"], r["th"]): r for r in free.join(F.broadcast(ids), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).collect()} if keys else {}  # at most 4 * each
+        release(found)
+        out = []
+        for v in (0, 1):
+            rows = [(text[r["doc_id"], r["th"]], c) for c in (0, 1) for r in got[v, c]]
+            out.append((views([r for r, _ in rows]), np.array([float(c) for _, c in rows])))
+        return out
+
+    return fit(views(rows), np.array([r["quality"] for r in rows], np.int64), surest, rounds)
 
 
 def score(docs: DataFrame, model: Model, batch_bytes: int = 4 << 20) -> DataFrame:

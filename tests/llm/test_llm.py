@@ -253,6 +253,30 @@ def test_edited_leaks_against_brute_force():
     assert all(got[k] == [pytest.approx(v[0]), *v[1:]] for k, v in want.items())
 
 
+def test_leaks_with_spread_edits_come_from_fingerprints():
+    """Edits as far apart as they can be; every candidate comes from a fingerprint, and item-sized windows alone miss some."""
+    rnd = random.Random(21)
+    word = lambda: f"z{rnd.randint(0, 90000)}"
+    items = [[word() for _ in range(n)] for n in (6, 9, 13, 14, 24, 33, 54, 77, 120, 260) for _ in range(3)] + [["on", "and"] * 15 + [word() for _ in range(20)], ["x"] * 12]
+    texts = []
+    for i in items:
+        for edits in range(max(1, len(i) // 40), len(i) // 20 + 2):
+            t = list(i)
+            for e in range(edits):
+                t[(2 * e + 1) * len(t) // (2 * edits)] = word()
+            texts.append([word() for _ in range(rnd.randint(0, 9))] + t + [word() for _ in range(7)])
+            texts.append(i[len(i) // 11 :])
+    laid = decontaminate.word_hashes([" ".join(t) for t in texts])
+    of = lambda h: {(d, i) for d, i, *_ in h.search(*laid)}
+    make = lambda: decontaminate.Items(list(range(len(items))), [" ".join(i) for i in items], 0.8)
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if 2 * len(set(t) & set(item)) > len(set(item)) and brute_leak(t, item)[0] >= 0.8}
+    assert len(want) > 60 and of(make()) == want
+    long, short, no = make(), make(), make()
+    long.parts, no.parts, no.classes = [], [], []
+    short.classes = []
+    assert of(long) < want and of(short) <= want and not of(no)
+
+
 def brute_removed(texts, length):
     raw = [(t or "").encode() for t in texts]
     c = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
@@ -423,6 +447,39 @@ def test_quality(spark):
     assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got)
 
 
+def test_co_training_helps_or_is_left_out():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 48)
+    pool_y = rng.integers(0, 2, 2000)
+    strong = lambda t: (t[:, None] * 2.0 - 1 + rng.normal(0, 0.5, (len(t), 4))).astype(np.float32)
+    weak = lambda t: np.hstack([t[:, None] * 1.2 - 0.6 + rng.normal(0, 1, (len(t), 1)), rng.normal(0, 1, (len(t), 40))]).astype(np.float32)
+    noise = lambda t: rng.normal(0, 1, (len(t), 12)).astype(np.float32)
+    right = lambda p, t: float(((p >= 0.5) == (t == 1)).mean())
+
+    def pick(pool):
+        def surest(weights, bounds):
+            out = []
+            for v in (0, 1):
+                value = pool[v] @ weights[v][:-1] + weights[v][-1]
+                rows = np.r_[np.flatnonzero(value <= bounds[v][0])[:150], np.flatnonzero(value >= bounds[v][1])[:150]]
+                out.append(([x[rows] for x in pool], (value[rows] > 0).astype(float)))
+            return out
+
+        return surest
+
+    for second in (weak, noise):
+        xs, pool = [strong(y), second(y)], [strong(pool_y), second(pool_y)]
+        alone, taught = quality.fit(xs, y, pick(pool), rounds=0), quality.fit(xs, y, pick(pool))
+        a, b = alone.scores(pool), taught.scores(pool)
+        assert right(b[2], pool_y) >= max(right(b[0], pool_y), right(b[1], pool_y)) - 0.005
+        assert right(b[0], pool_y) >= right(a[0], pool_y) - 0.005
+        if second is weak:
+            assert right(b[1], pool_y) > right(a[1], pool_y) + 0.02
+        else:
+            flat = quality.Learner(xs[1], y, np.arange(len(y)) % 4).trusted(0.8)
+            assert not np.isfinite(flat).any()
+
+
 def test_odd_inputs(spark, odd, none):
     bench = spark.createDataFrame([(1, "same words here for all")], "item_id long, text string")
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
