@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip
-from ..params import DiffusionParams, Rank
+from ..params import DiffusionParams
 from . import linalg
 from .lineage import keep
 from .proba import FLOOR
@@ -134,13 +134,10 @@ def laplacian_of(edges: DataFrame, params: DiffusionParams) -> Laplacian:
 
 def embed_laplacian(lap: Laplacian, params: DiffusionParams) -> DataFrame:
     """(id, coords): singular vectors after the first, times powers of their values, over scale and root of the norm."""
-    m = lap.sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w")
-    n = lap.norm.count()
-    if n <= linalg.SMALL:
-        s, u, _, ids, _ = linalg.svd_full(m)
-        block = m.sparkSession.createDataFrame([(int(i), [float(x) for x in row]) for i, row in zip(ids, u[:, : params.asked_dim + 16], strict=True)], linalg.BLOCK)
-    else:
-        s, block, _ = linalg.svd(m, Rank(params.asked_dim + 15, 5))
+    values, block, _ = linalg.eigen(lap.sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w"), max(params.asked_dim + 1, 3))
+    s = np.abs(values)
+    if not len(s):
+        return block.select(F.col("i").alias("id"), F.col("x").alias("coords"))
     dim = min(params.asked_dim, len(s) - 1)
     lam = s / s[0]
     time = params.t
@@ -164,10 +161,10 @@ def legacy_embed(k: DataFrame, dim: int, t: float | None = None) -> DataFrame:
     from .proba import legacy_laplacian
 
     sym, deg = legacy_laplacian(k)
-    s, u, _, ids, _ = linalg.svd_full(sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w"))
+    values, block, _ = linalg.eigen(sym.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w"), max(dim + 1, 3))
+    s = np.abs(values)
     lam = s / s[0]
-    time = t if t is not None else min(5.0, log(0.9) / log(lam[2] / lam[1])) if 0 < lam[2] < lam[1] else 5.0
-    degrees = {r["id"]: r["norm"] for r in deg.collect()}  # at most linalg.SMALL nodes get here
-    mean = float(np.mean(list(degrees.values())))
-    rows = [(int(i), [float(lam[j + 1] ** time * row[j + 1] / np.sqrt(degrees[i] / mean)) for j in range(min(dim, len(s) - 1))]) for i, row in zip(ids, u, strict=True)]
-    return k.sparkSession.createDataFrame(rows, "id long, coords array<double>")
+    time = t if t is not None else min(5.0, log(0.9) / log(lam[2] / lam[1])) if len(lam) > 2 and 0 < lam[2] < lam[1] else 5.0
+    mean = deg.agg(F.avg("norm").alias("m"))
+    joined = block.select(F.col("i").alias("id"), "x").join(deg, "id").join(F.broadcast(mean), how="cross")
+    return joined.select("id", F.array(*[F.lit(float(lam[j + 1] ** time)) * F.col("x")[j + 1] / F.sqrt(F.col("norm") / F.col("m")) for j in range(min(dim, len(s) - 1))]).alias("coords"))

@@ -450,6 +450,13 @@ def svd_rank(spark, sf_dir):
     return _values(spark, linalg.svd(_lap(spark, sf_dir), Rank(20, 5))[0])
 
 
+@query()
+def laplacian_values(spark, sf_dir):
+    """The 20 largest values of the normalised kernel, with bounds of their errors."""
+    values, _, off = linalg.eigen(_lap(spark, sf_dir), 20)
+    return spark.createDataFrame([(k, float(abs(v)), float(e)) for k, (v, e) in enumerate(zip(values, off, strict=True))], "k int, sigma double, bound double")
+
+
 @query()
 def svd_epsil(spark, sf_dir):
     """A range of 40 vectors at most, which this flat spectrum needs more of: values are lower bounds."""
