@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DiffusionParams
@@ -24,20 +27,72 @@ def means(lap: Laplacian, points: DataFrame) -> DataFrame:
     return p.select(F.col("src").alias("id"), "p", F.posexplode("v").alias("j", "x")).groupBy("id", "j").agg(F.sum(F.col("p") * F.col("x")).alias("m"))
 
 
-def covariance(lap: Laplacian, points: DataFrame) -> DataFrame:
-    """(id, mean, cov, scale): mean and covariance (row by row) of the walk, the latter over twice the squared scale.
+def apply_fvec(lap: Laplacian, points: DataFrame, f: Callable[[Column], Column], g: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, mean, mean_g, cov, scale): the carré du champ of two vector functions of the coordinates, of any widths.
 
-    A point's covariance is one grouped Arrow function over its few neighbours.
+    ``f`` and ``g`` (``f``, if left out) make an array column of the column of
+    coordinates; ``cov`` has a row for each component of f.
     """
-    rows = lap.transitions().join(points.select(F.col("id").alias("dst"), "v"), "dst").join(lap.scales.select(F.col("id").alias("src"), "s"), "src").select("src", "p", "v", "s")
+    maps = points.select("id", f(F.col("v")).alias("f"), (g or f)(F.col("v")).alias("g"))
+    return cross_covariance(lap, maps)
+
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        x, p = np.array(t["v"].tolist(), float), t["p"].to_numpy()
-        m = p @ x
-        c = (x - m).T @ ((x - m) * p[:, None]) / (2 * t["s"].iloc[0] ** 2)
-        return pd.DataFrame({"id": [t["src"].iloc[0]], "mean": [m.tolist()], "cov": [c.ravel().tolist()], "scale": [t["s"].iloc[0]]})
+def cross_covariance(lap: Laplacian, maps: DataFrame) -> DataFrame:
+    """(id, mean, mean_g, cov, scale): means and cross-covariance, row by row, of ``f`` and ``g`` over the walk from each point, the latter over twice the squared scale.
+
+    ``maps``: id, f, g, arrays of one width each.  Points dealt and sorted by id
+    are added up as they stream by, in differences to the first of each point, so that a
+    hub with many neighbours takes no more memory than another.  A point of the
+    walk that ``maps`` lacks, or whose arrays are null, counts as nothing.
+    """
+    at = maps.where(F.col("f").isNotNull() & F.col("g").isNotNull()).select(F.col("id").alias("dst"), "f", "g")
+    rows = lap.transitions().join(at, "dst").join(lap.scales.select(F.col("id").alias("src"), "s"), "src").select("src", "p", "s", "f", "g")
+
+    def finish(src, s, f0, g0, total, width):
+        """Rows of points from their sums (p, p f, p g, p f g) of differences to f0 and g0."""
+        n, m = width
+        p, pf, pg, pfg = total[:, :1], total[:, 1 : n + 1], total[:, n + 1 : n + m + 1], total[:, n + m + 1 :].reshape(-1, n, m)
+        mf, mg = pf + p * f0, pg + p * g0
+        d, e = f0 - mf, g0 - mg
+        cov = (pfg + pf[:, :, None] * e[:, None, :] + d[:, :, None] * pg[:, None, :] + p[:, :, None] * d[:, :, None] * e[:, None, :]) / (2 * s[:, None, None] ** 2)
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(mf.tolist()), pa.array(mg.tolist()), pa.array(cov.reshape(len(s), -1).tolist()), pa.array(s)], ["id", "mean", "mean_g", "cov", "scale"])
 
-    return rows.groupBy("src").applyInPandas(run, "id long, mean array<double>, cov array<double>, scale double")
+    def run(batches):
+        held = None  # the last point seen: it may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            f_all, g_all = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (3, 4))
+            src_all, p_all, s_all = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            width = f_all.shape[1], g_all.shape[1]
+            step = max(1, (1 << 20) // (width[0] * width[1]))
+            for k in range(0, b.num_rows, step):
+                src, p, s, f, g = (x[k : k + step] for x in (src_all, p_all, s_all, f_all, g_all))
+                first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+                many = np.diff(np.r_[first, len(src)])
+                f0, g0 = f[first].copy(), g[first].copy()
+                goes_on = held is not None and held[0][0] == src[0]
+                if goes_on:
+                    f0[0], g0[0] = held[2][0], held[3][0]
+                df, dg = f - np.repeat(f0, many, 0), g - np.repeat(g0, many, 0)
+                each = np.hstack([np.ones((len(p), 1)), df, dg, (df[:, :, None] * dg[:, None, :]).reshape(len(p), -1)]) * p[:, None]
+                now = [src[first], s[first], f0, g0, np.add.reduceat(each, first)]
+                if goes_on:
+                    now[4][0] += held[4][0]
+                elif held is not None:
+                    yield finish(*held, width)
+                if len(first) > 1:
+                    yield finish(*[x[:-1] for x in now], width)
+                held = [x[-1:] for x in now]
+        if held is not None:
+            yield finish(*held, (held[2].shape[1], held[3].shape[1]))
+
+    return rows.repartition("src").sortWithinPartitions("src").mapInArrow(run, "id long, mean array<double>, mean_g array<double>, cov array<double>, scale double")
+
+
+def covariance(lap: Laplacian, points: DataFrame) -> DataFrame:
+    """(id, mean, cov, scale): mean and covariance (row by row) of the walk, the latter over twice the squared scale."""
+    return apply_fvec(lap, points, lambda v: v).drop("mean_g")
 
 
 def _dim(cov):

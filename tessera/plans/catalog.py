@@ -593,6 +593,22 @@ def cdc_distance(spark, sf_dir):
     return carre.distances(_cov(spark, sf_dir), pairs).select("a", "b", r6("dist", 4).alias("dist"))
 
 
+FG = "fg as (select e.id, i, j, e.v[i] f, e.v[j] * e.v[j] g from e, (select unnest(range(1, 3)) i), (select unnest(range(1, 65)) j)), mfg as (select src id, i, j, sum(p * f) mf, sum(p * g) mg from walk join fg on fg.id = walk.dst group by 1, 2, 3)"
+
+
+@query(with_(*WALK_SQL, FG) + "select src id, (fg.i - 1)::int i, (fg.j - 1)::int j, round(sum(p * (f - mf) * (g - mg)) / (2 * max(sc.s) * max(sc.s)), 6) c from walk join fg on fg.id = walk.dst join mfg on mfg.id = walk.src and mfg.i = fg.i and mfg.j = fg.j join sc on sc.id = walk.src group by 1, 2, 3")
+def cdc_vector_functions(spark, sf_dir):
+    """Two functions of whole vectors: the first two components, and the squares of all."""
+    c = carre.apply_fvec(carre.walk(edges(spark, sf_dir)), points(spark, sf_dir), lambda v: F.slice(v, 1, 2), lambda v: F.transform(v, lambda x: x * x))
+    c = c.select("id", F.posexplode("cov").alias("k", "c"))
+    return c.select("id", F.floor(F.col("k") / 64).cast("int").alias("i"), (F.col("k") % 64).alias("j"), r6("c").alias("c"))
+
+
+@query(with_(*WALK_SQL) + ", x as (select e.id, u.j, e.v[u.j] x from e, (select unnest(range(1, 65)) j) u), mu as (select src id, j, sum(p * x) m from walk join x on x.id = walk.dst group by 1, 2) select walk.src id, round(sum(p * (x - m) * (x - m)) / (2 * max(sc.s) * max(sc.s)), 6) as trace from walk join x on x.id = walk.dst join mu on mu.id = walk.src and mu.j = x.j join sc on sc.id = walk.src group by 1")
+def cdc_trace_whole(spark, sf_dir):
+    return carre.traces(_whole_cov(spark, sf_dir)).select("id", r6("trace").alias("trace"))
+
+
 @query(with_(*WALK_SQL) + "select src id, round(sum(p * v[1] * v[2]) - sum(p * v[1]) * sum(p * v[2]), 6) gamma from walk join e on e.id = walk.dst group by src")
 def cdc_gamma(spark, sf_dir):
     values = points(spark, sf_dir).select("id", F.col("v")[0].alias("f"), F.col("v")[1].alias("g"))
