@@ -206,28 +206,30 @@ def fit(xs: list[np.ndarray], y: np.ndarray, surest, rounds: int = 3, right: flo
 COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 
 
-SURE = "view int, label int, sure double, doc_id {}, th long"
+def surest_rows(docs: DataFrame, labelled: DataFrame, weights: list[np.ndarray], bounds: list[tuple[float, float]], batch_bytes: int = 4 << 20) -> DataFrame:
+    """(view, label, th, sure, doc_id): of ``docs`` (COLUMNS, th) without the ids in ``labelled``, each text that is beyond a view's bound, once a view and label.
 
-
-def surest_rows(docs: DataFrame, weights: list[np.ndarray], bounds: list[tuple[float, float]], each: int, batch_bytes: int = 4 << 20) -> DataFrame:
-    """(view, label, sure, doc_id, th): of each batch of ``docs`` (COLUMNS, th) the ``each`` surest rows a view and label, beyond the view's bounds."""
+    Labelled rows are left out after texts have become values, so that only ids
+    and values are shuffled, and by one plan at every size.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast((weights, bounds))  # a fixed number of weights
 
     def run(batches):
         weights, bounds = shipped.value
         for b in arrow_batches(batches, batch_bytes):
             cols = [b.column(i).to_pylist() for i in range(5)]
-            xs = [text_features(cols[1]), meta_features(*cols[2:])]
-            for view in (0, 1):
-                v = _value(xs[view], weights[view])
-                for label, sure, least in ((0, -v, -bounds[view][0]), (1, v, bounds[view][1])):
-                    at = np.flatnonzero(sure >= least)
-                    at = at[np.argsort(-sure[at], kind="stable")[:each]]
-                    if len(at):
-                        rows = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)) for c in (view, label)] + [pa.array(sure[at]), b.column(0).take(rows), b.column(5).take(rows)], ["view", "label", "sure", "doc_id", "th"])
+            values = [_value(x, w) for x, w in zip([text_features(cols[1]), meta_features(*cols[2:])], weights, strict=True)]
+            at = np.flatnonzero(np.any([(v <= low) | (v >= high) for v, (low, high) in zip(values, bounds, strict=True)], 0))
+            if len(at):
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(5).take(rows), *(pa.array(v[at].astype(float)) for v in values)], ["doc_id", "th", "v0", "v1"])
 
-    return docs.select(*COLUMNS, "th").mapInArrow(run, SURE.format(docs.schema["doc_id"].dataType.simpleString()))
+    values = docs.select(*COLUMNS, "th").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, v0 double, v1 double")
+    free = values.join(labelled.hint("merge"), "doc_id", "left_anti")
+    cases = [F.struct(F.lit(v).alias("view"), F.lit(c).alias("label"), F.col(f"v{v}") * sign, F.lit(sign * float(bounds[v][c])).alias("least")) for v in (0, 1) for c, sign in ((0, -1.0), (1, 1.0))]
+    beyond = free.select("doc_id", "th", F.inline(F.array(*(c.cast("struct<view:int,label:int,sure:double,least:double>") for c in cases)))).where("sure >= least")
+    best = F.max(F.struct("sure", F.bitwise_not(F.xxhash64("doc_id")), "doc_id")).alias("m")
+    return beyond.groupBy("view", "label", "th").agg(best).select("view", "label", "th", "m.sure", "m.doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, rounds: int = 3, each: int = 150) -> Model:
@@ -236,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, rounds:
     one = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = one.orderBy(h, "doc_id").limit(most_labelled)
     rows = docs.select(*COLUMNS).join(F.broadcast(known), "doc_id").orderBy(h, "doc_id", "text").limit(most_labelled).collect()  # known: bounded by the limit
-    free = docs.select(*COLUMNS, F.xxhash64("text").alias("th")).where("doc_id is not null").join(one.select("doc_id"), "doc_id", "left_anti")
+    texts = docs.select(*COLUMNS, F.xxhash64("text").alias("th")).where("doc_id is not null")
     taken: set = set()
 
     def views(got):  # few texts at a time, so that the driver never holds the features' intermediates of all
@@ -246,12 +248,12 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, rounds:
 
     def surest(weights, bounds):
         most = each + len(taken)  # what earlier rounds took may come again
-        found = materialise(surest_rows(free, weights, bounds, most).groupBy("view", "label", "th").agg(F.max(F.struct("sure", -F.xxhash64("doc_id"), "doc_id")).alias("m")).select("view", "label", "th", "m.sure", "m.doc_id"), "surest")
+        found = materialise(surest_rows(texts, one.select("doc_id"), weights, bounds), "surest")
         got = {(v, c): [r for r in found.where((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), h, "doc_id", "th").limit(most).collect() if (r["doc_id"], r["th"]) not in taken][:each] for v in (0, 1) for c in (0, 1)}
         keys = sorted({(r["doc_id"], r["th"]) for rows in got.values() for r in rows})
         taken.update(keys)
         ids = docs.sparkSession.createDataFrame(keys, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long")
-        text = {(r["doc_id"], r["th"]): r for r in free.join(F.broadcast(ids), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).collect()} if keys else {}  # at most 4 * each
+        text = {(r["doc_id"], r["th"]): r for r in texts.join(F.broadcast(ids), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).collect()} if keys else {}  # at most 4 * each
         release(found)
         out = []
         for v in (0, 1):
