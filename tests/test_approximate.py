@@ -70,3 +70,12 @@ def test_points_are_projected_by_search(spark, index):
     assert got.keys() == want.keys()
     assert sum(got[i]["upper_id"] == want[i]["upper_id"] for i in want) >= 0.95 * len(want)
     assert all(got[i]["dist"] >= want[i]["dist"] - 1e-9 for i in want)
+
+
+def test_descent_is_held_against_exact_neighbours(spark):
+    df = cloud(spark, np.random.default_rng(5).standard_normal((1500, 40)))
+    exact = knn.knn(df, 5).persist()
+    assert knn.recall(exact, descent.descent(df, 5, width=5, draw=2, rounds=2, enough=None)).first()["recall"] < 0.8
+    assert knn.recall(exact, descent.descent(df, 5, width=5, draw=2, rounds=2)).first()["recall"] >= 0.9
+    same = cloud(spark, np.repeat(np.random.default_rng(6).random((10, 3)), 40, 0))  # ids decide ties
+    assert knn.recall(knn.knn(same, 5), descent.descent(same, 5)).first()["recall"] >= 0.9
