@@ -74,3 +74,28 @@ def test_hot_buckets_are_cut(spark, monkeypatch):
     assert sorted(knn.knn(df, 6, method="approx", tables=4, bits=2).collect()) == sorted(want)
     new = df.limit(30).selectExpr("-id - 1 id", "v")
     assert knn.knn(df, 6, method="approx", queries=new, tables=4, bits=2).groupBy("src").count().where("count = 6").count() == 30
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_columns_return_few_pairs_and_the_same_neighbours(spark, metric, monkeypatch):
+    x = np.abs(np.random.default_rng(6).standard_normal((900, 5)))
+    x[::9] = x[0]  # ties
+    df = spark.createDataFrame([(i * 3, [float(c) for c in v]) for i, v in enumerate(x / x.sum(1, keepdims=True))], "id long, v array<double>")
+    seen, old = [], knn.top_k
+    monkeypatch.setattr(knn, "top_k", lambda pairs, k: (seen.append(pairs), old(pairs, k))[1])
+    got = knn.knn(df, 6, metric, "sql").collect()
+    assert seen[-1].count() < 900 * 899 / 3
+    monkeypatch.undo()
+    want = knn.knn(df, 6, metric).collect()
+    name = lambda rows: [(r["src"], r["rank"], r["dst"]) for r in sorted(rows, key=lambda r: (r["src"], r["rank"]))]
+    far = [(a["dist"], b["dist"]) for a, b in zip(sorted(got, key=lambda r: (r["src"], r["rank"])), sorted(want, key=lambda r: (r["src"], r["rank"])), strict=True)]
+    assert np.allclose(*zip(*far, strict=True), atol=1e-7)
+    assert metric != "l2" or name(got) == name(want)
+
+
+def test_columns_of_few_points_and_of_other_queries(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [5.0, 0.0])], "id long, v array<double>")
+    assert {(r["src"], r["dst"]) for r in knn.knn(df, 10, method="sql").collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+    new = spark.createDataFrame([(9, [0.0, 1.9])], "id long, v array<double>")
+    assert [(r["dst"], r["rank"]) for r in knn.knn(df, 1, method="sql", queries=new).collect()] == [(2, 1)]
+    assert knn.knn(df.where("false"), 3, method="sql").count() == 0
